@@ -30,6 +30,7 @@ TOKEN = r"\p{IsHan}|\d+(?:[.,:]\d+)*|(?:(?!\p{IsHan})[\p{L}\p{M}\d_\-'’])+|[.?
 STOP = r"^[.?!。？！\n]"
 CLOSING_SHARE = 0.75
 LEAST_TEXTS = 4
+USUAL_END = 0.02
 PHRASE = 60
 
 
@@ -114,6 +115,10 @@ def find_cut(df: DataFrame, text: str, source: str) -> DataFrame:
     j = j.join(words.select(F.col("b").alias("__wb"), "w_on", "w_stop", "w_end"), F.col("b") == F.col("__wb"), "left").drop("__wb")
     j = j.join(pairs.select(F.col("a").alias("__pa"), F.col("b").alias("__pb"), "goes_on", "stops", "ends"), (F.col("a") == F.col("__pa")) & (F.col("b") == F.col("__pb")), "left").drop("__pa", "__pb")
     j = j.join(local.select(F.col("src").alias("__ls"), F.col("a").alias("__la"), F.col("b").alias("__lb"), "here_on", "here_end"), (F.col("src") == F.col("__ls")) & (F.col("a") == F.col("__la")) & (F.col("b") == F.col("__lb")), "left").drop("__ls", "__la", "__lb")
+    # tokens that a good part of a source's texts end with
+    finals = ends.groupBy("src", "b").agg(F.count("*").alias("f"))
+    usual = finals.join(t.groupBy("src").agg(F.count("*").alias("all")), "src").filter((F.col("f") >= 3) & (F.col("f") >= USUAL_END * F.col("all")))
+    j = j.join(usual.select(F.col("src").alias("__us"), F.col("b").alias("__ub"), F.lit(True).alias("usual_end")), (F.col("src") == F.col("__us")) & (F.col("b") == F.col("__ub")), "left").drop("__us", "__ub")
     need = closings(t)
     j = j.join(need.select(F.col("src").alias("__cs"), "needs_last_char", "needs_last_word", "needs_before_word"), F.col("src") == F.col("__cs"), "left").drop("__cs")
     lim = limits(t)
@@ -129,7 +134,7 @@ def find_cut(df: DataFrame, text: str, source: str) -> DataFrame:
         .when(lacks("last_char") | lacks("last_word") | lacks("before_word") | (formed & F.col("unbalanced")), "no closing")
         .when(F.col("needs_last_char").isNotNull(), None)
         .when(formed & (zero("here_on") > zero("here_end")), "goes on")
-        .when(formed & unknown & (F.col("copies") < 5), "prefix")
+        .when(formed & unknown & F.col("usual_end").isNull(), "prefix")
         .when(formed | F.col("stopped"), None)
         .when(phrase & (F.col("copies") >= 5), None)
         .when(unknown, "prefix")
