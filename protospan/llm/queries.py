@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protospan.llm import tokens, truncation
+from protospan.llm import linkage, tokens, truncation
 from protospan.sources.tables import read
 
 
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(read(spark, d, "isolated_cells"), read(spark, d, "raw_files"), read(spark, d, "plates"), read(spark, d, "cellenone_runs"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_links(spark, d).select("cell_id", "raw_file_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents"), "doc_id", "text")
 
@@ -31,4 +39,4 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.report(read(spark, d, "documents"), "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_round_trip, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_links, p7_ids, p7_round_trip, p9_found, p9_report)}
