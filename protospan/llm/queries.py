@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from protospan.llm import linkage, tokens, truncation
+from protospan.llm import linkage, mixing, tokens, truncation
 from protospan.sources.tables import read
 
 
@@ -31,6 +31,18 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.sum(differs).alias("differ"))
 
 
+def _mix(spark: SparkSession, d: str):
+    return mixing.mix(read(spark, d, "documents"), "doc_id", "text", "source", read(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_mix(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(read(spark, d, "documents"), "doc_id", "text", "source").select("doc_id")
 
@@ -39,4 +51,4 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.report(read(spark, d, "documents"), "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_links, p7_ids, p7_round_trip, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_links, p7_ids, p7_round_trip, p8_mix, p8_report, p9_found, p9_report)}
