@@ -57,16 +57,16 @@ def bloom_words(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """One row: ``words``, array<bigint> of bits / 64 words in order."""
     place = keys.select(F.explode(F.array(*_places(F.col(key), bits))).alias("p"))
     words = place.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("x"))
-    held = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))
-    return held.select(F.expr(f"transform(sequence(0L, {bits // 64 - 1}L), i -> coalesce(m[i], 0L))").alias("words"))
+    none = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
+    full = words.unionByName(none).groupBy("w").agg(F.bit_or("x").alias("x"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "x"))), lambda p: p["x"]).alias("words"))
 
 
 def may_contain(words: Column, key: Column, bits: int) -> Column:
     """False only where the key is certainly not in the filter."""
-    ok = F.lit(True)
+    ok = F.lit(True)  # a subquery may not stand inside a lambda, so the places are spelled out; the plan reuses it
     for p in _places(key, bits):
-        word = F.get(words, F.floor(p / 64).cast("int"))
-        ok = ok & (F.getbit(word, F.pmod(p, F.lit(64)).cast("int")) == 1)
+        ok = ok & (F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
     return ok
 
 
