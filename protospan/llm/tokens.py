@@ -91,11 +91,12 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
     marked = places.join(F.broadcast(hot), F.col("word") == F.col("hot_word"), "left")
     done = marked.filter(F.col("hot_ids").isNotNull()).select("__k", "__h", "pos", F.col("hot_ids").alias("ids"))
     rare = marked.filter(F.col("hot_ids").isNull()).select("__k", "__h", "pos", "word").join(coded, "word").select("__k", "__h", "pos", "ids")
-    # equal texts under one key bring each position as often as they repeat: order once, count by the first position
-    parts = done.unionByName(rare).groupBy("__k", "__h").agg(F.collect_list(F.struct("pos", "ids")).alias("__p"))
-    ids = F.flatten(F.transform(F.array_sort(F.array_distinct("__p")), lambda p: p["ids"]))
-    times = F.size(F.filter("__p", lambda p: p["pos"] == 0))
-    out = parts.select(F.col("__k").alias(key), ids.alias("ids"), F.explode(F.array_repeat(F.lit(0), times)).alias("__c")).select(key, "ids")
+    # equal texts under one key bring each position as often as they repeat: in order, every n-th is one text
+    parts = done.unionByName(rare).groupBy("__k", "__h").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("__p"))
+    parts = parts.withColumn("__n", F.size(F.filter("__p", lambda p: p["pos"] == 0)))
+    one = F.when(F.col("__n") == 1, F.col("__p")).otherwise(F.filter("__p", lambda p, i: i % F.col("__n") == 0))
+    ids = F.flatten(F.transform(one, lambda p: p["ids"]))
+    out = parts.select(F.col("__k").alias(key), ids.alias("ids"), F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__c")).select(key, "ids")
     return out.unionByName(blank)
 
 
