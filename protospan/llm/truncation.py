@@ -20,13 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from protospan.functions.lineage import cut_lineage
+
 # fixed values: marks that systems put behind a text, which say nothing about its end
 FOOTER = r"(?:\s*(?:\[saved\]|[Rr]efs?: (?:\[\d{1,4}\],? ?)++|\(see [^()\n]{1,40}\)|[:;]-?[)(DP]|[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]))+$"
 # fixed values: marks of clipping
 CLIPPED = r"(?:…|\.\.\.|\x{FFFD}|\[[^\[\]\n]{0,30}(?:clipped|truncated|cut off|continued|more)[^\[\]\n]{0,10}\]|\((?:truncated|continued|more)\))$"
-BLANK_END = r"[\s\x{0}\x{200B}\x{FEFF}\x{A0}\x{3000}]+$"
+BLANKS = " \t\n\r\x0b\x0c\x00\u200b\ufeff\u00a0\u3000"
+END = 400  # characters in which footers, marks and line forms are sought; every one of them is shorter by its pattern
 STOP_END = r"[.?!。？！][\"'”’»)\]`*_]*$"
-TOKEN = r"\p{IsHan}|\d+(?:[.,:]\d+)*|(?:(?!\p{IsHan})[\p{L}\p{M}\d_\-'’])+|[.?!。？！]+|\n+"
+TOKEN = r"\p{IsHan}|\d+(?:[.,:]\d+)*|[\p{L}\p{M}\d_\-'’&&[^\p{IsHan}]]+|[.?!。？！]+|\n+"
 STOP = r"^[.?!。？！\n]"
 CLOSING_SHARE = 0.75
 LEAST_TEXTS = 4
@@ -50,17 +53,22 @@ def texts(df: DataFrame, text: str, source: str) -> DataFrame:
     t = F.col("__t")
     rows = df.select(F.col(text).alias("__t"), source_key(F.col(source)).alias("src")).filter(t.isNotNull())
     rows = rows.groupBy("src", "__t").agg(F.count("*").alias("copies"))
-    trimmed = F.regexp_replace(t, BLANK_END, "")
-    body = F.regexp_replace(F.regexp_replace(trimmed, FOOTER, ""), BLANK_END, "")
-    rows = rows.withColumn("body", F.when(trimmed.rlike(CLIPPED), trimmed).otherwise(body)).filter(F.col("body") != "")
+    blanks = F.lit(BLANKS)
+    rows = rows.withColumn("trimmed", F.rtrim("__t", blanks)).filter(F.col("trimmed") != "")
+    last_part = F.right("trimmed", F.lit(END))
+    clipped = last_part.rlike(CLIPPED)
+    foot = F.rtrim(F.concat(F.substring(F.col("trimmed"), F.lit(1), F.length("trimmed") - F.length(last_part)), F.regexp_replace(last_part, FOOTER, "")), blanks)
+    rows = rows.withColumn("body", F.when(clipped | ~last_part.rlike(FOOTER), F.col("trimmed")).otherwise(foot)).filter(F.col("body") != "")
     b = F.col("body")
-    rows = rows.withColumn("tail", F.expr("right(body, 400)"))  # for line forms only; the tokens below are of the whole text
+    rows = rows.withColumn("tail", F.right("body", F.lit(END)))  # for the forms of ends; the tokens below are of the whole text
+    e = F.col("tail")
     last, before = F.element_at(F.split("tail", r"\s*\n\s*"), -1), F.get(F.reverse(F.split("tail", r"\s*\n\s*")), F.lit(1))
-    tokens = F.transform(F.regexp_extract_all(F.regexp_replace(b, CLIPPED, ""), F.lit(TOKEN), F.lit(0)), _shape)
+    bare = F.concat(F.substring(b, F.lit(1), F.length(b) - F.length(e)), F.regexp_replace(e, CLIPPED, ""))
+    tokens = F.transform(F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0)), _shape)
     return rows.select(
         "src", F.col("__t").alias("text"), "copies", F.length(t).alias("n"), tokens.alias("tokens"),
-        b.rlike(CLIPPED).alias("clipped"), b.rlike(STOP_END).alias("stopped"),
-        F.when(F.regexp_replace(t, r"[\x{0}]+$", "").endswith("\n"), "line").otherwise(F.when(b.rlike(r"[}\]>]$"), F.expr("right(body, 1)")).otherwise("")).alias("last_char"),
+        e.rlike(CLIPPED).alias("clipped"), e.rlike(STOP_END).alias("stopped"),
+        F.when(F.rtrim("__t", F.lit("\x00")).endswith("\n"), "line").otherwise(F.when(e.rlike(r"[}\]>]$"), F.right(e, F.lit(1))).otherwise("")).alias("last_char"),
         F.when(F.length(last) <= 80, F.regexp_extract(last, r"^\S+", 0)).otherwise("").alias("last_word"),
         F.when(F.length(before) <= 80, F.regexp_extract(before, r"^\S+", 0)).otherwise("").alias("before_word"),
         (b.rlike(r"^[{\[]") & (F.length(b) - F.length(F.translate(b, "{[", "")) != F.length(b) - F.length(F.translate(b, "}]", "")))).alias("unbalanced"),
@@ -101,11 +109,11 @@ def _steps(t: DataFrame) -> DataFrame:
 
 def find_cut(df: DataFrame, text: str, source: str) -> DataFrame:
     """(src, text, copies, cut, reason) of distinct texts that are not blank."""
-    t = texts(df, text, source)
-    steps = _steps(t)
+    t = cut_lineage(texts(df, text, source))  # read for the learned tables and for the ends
     is_next = lambda x: F.sum((F.col("next") == x).cast("long"))
-    pairs = steps.groupBy("a", "b").agg(is_next("word").alias("goes_on"), is_next("stop").alias("stops"), is_next("end").alias("ends"))
-    local = steps.groupBy("src", "a", "b").agg(is_next("word").alias("here_on"), (is_next("end") + is_next("stop")).alias("here_end"))
+    per = _steps(t).groupBy("src", "a", "b").agg(is_next("word").alias("on"), is_next("stop").alias("stop"), is_next("end").alias("end"))
+    local = per.select("src", "a", "b", F.col("on").alias("here_on"), (F.col("end") + F.col("stop")).alias("here_end"))
+    pairs = per.groupBy("a", "b").agg(F.sum("on").alias("goes_on"), F.sum("stop").alias("stops"), F.sum("end").alias("ends"))
     words = pairs.groupBy("b").agg(F.sum("goes_on").alias("w_on"), F.sum("stops").alias("w_stop"), F.sum("ends").alias("w_end"))
     known = words.filter((F.col("w_on") + F.col("w_stop") > 0) & F.col("b").rlike(r"^[\p{L}\p{M}'’\-]{2,40}$"))
     nodes = known.select("b", F.explode(F.expr("sequence(1, length(b) - 1)")).alias("at")).select(F.expr("substring(b, 1, at)").alias("node")).groupBy("node").agg(F.count("*").alias("below"))
