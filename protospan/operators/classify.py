@@ -40,7 +40,7 @@ def marker_sets(profiles: DataFrame, least_pct: float = 0.2) -> DataFrame:
 def all_pairs(cells: DataFrame, profiles: DataFrame) -> DataFrame:
     """run, cell_type: every run with every type; types are few by nature and ride along as one array."""
     types = profiles.agg(F.collect_set("cell_type").alias("t")).scalar()
-    return cells.select("run").distinct().select("run", F.explode(F.array_sort(types)).alias("cell_type"))
+    return cells.select("run").distinct().select("run", F.explode(F.sort_array(types)).alias("cell_type"))
 
 
 def correlation(cells: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def marker_classify(cells: DataFrame, panels: DataFrame, floor: int = 2) -> Data
     hit = cells.select("run", "gene").distinct().join(panels, "gene").join(weight, "gene").groupBy("run", "class").agg(F.count("*").alias("k"), F.sum("w").alias("w")).join(size, "class")
     hit = hit.filter(F.col("k") >= F.least(F.lit(floor), F.col("panel"))).withColumn("score", F.col("w") * F.col("k") / F.col("panel"))
     hit = hit.withColumn("confidence", F.least(F.lit(1.0), F.col("score") / F.col("all_w")))
-    best = hit.groupBy("run").agg(F.min_by(F.struct("class", "score", "confidence"), F.struct(-F.col("score"), F.col("class"))).alias("b"))
+    best = hit.groupBy("run").agg(F.min_by(F.struct("class", "score", "confidence"), F.struct(-F.round("score", 9), F.col("class"))).alias("b"))
     return cells.select("run").distinct().join(best, "run", "left").select("run", F.coalesce("b.class", F.lit("Unassigned")).alias("label"), F.coalesce("b.score", F.lit(0.0)).alias("score"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"))
 
 

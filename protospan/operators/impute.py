@@ -51,6 +51,11 @@ def fill(df: DataFrame, targets: list[Target]) -> DataFrame:
     """``df`` with targets filled in order (later levels see earlier fills) and two flag columns each."""
     flags = {f"{t.column}__{x}" for t in targets for x in ("filled", "level")}
     base = df.drop(*flags)
+    named = base.columns
+    # columns of the caller's that start like the working ones step aside until the end
+    used = {t.column for t in targets} | {b for t in targets for by in t.levels for b in by}
+    aside = {c: f"keep{i}__" for i, c in enumerate(c for c in named if c.startswith("__") and c not in used)}
+    base = base.select(*[_q(c).alias(aside.get(c, c)) for c in named])
     names = [t.column for t in targets]
     lacks = None
     for t in targets:
@@ -103,7 +108,9 @@ def fill(df: DataFrame, targets: list[Target]) -> DataFrame:
         rest = rest.withColumn(f"{t.column}__filled", F.coalesce(F.col(f"__l{k}") > 0, F.lit(False)))
         rest = rest.withColumn(f"{t.column}__level", F.when(F.col(f"__l{k}") > 0, F.col(f"__l{k}")))
     order = [*base.columns, *[f"{n}__{x}" for n in names for x in ("filled", "level")]]
-    return whole.select(*[_q(c) for c in order]).unionByName(rest.select(*[_q(c) for c in order]))
+    out = whole.select(*[_q(c) for c in order]).unionByName(rest.select(*[_q(c) for c in order]))
+    back = {v: k for k, v in aside.items()}
+    return out.select(*[_q(c).alias(back.get(c, c)) for c in order])
 
 
 def _match(need: Column, now: list[Column], keys: list[str]) -> Column:

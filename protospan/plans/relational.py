@@ -23,6 +23,17 @@ W = f"with {REP} "
 r2 = lambda c, n=2: F.round(c, n)
 
 
+@reg.add(W + f"select plate_id, count(distinct r.run) as runs, count(distinct q.protein) as proteins, round(median(r.tic), 3) as median_tic from runs r join quant q using (run) where protein_count >= {LOWER} group by 1".replace("median(r.tic)", "(select median(x.tic) from runs x where x.protein_count >= 40 and x.plate_id is not distinct from r.plate_id)"))
+def plate_summary(spark: SparkSession, d: str) -> DataFrame:
+    """plate_id, runs, proteins, median_tic among runs within the FDR and protein gates."""
+    ok = L.passed(spark, d)
+    good = filters.protein_gate(R.run_scalars(ok).join(L.run_dim(spark, d), "run", "left"), LOWER)
+    tic = good.groupBy("plate_id").agg(F.count("*").alias("runs"), r2(F.median("tic"), 3).alias("median_tic"))
+    prot = R.quant(ok).join(good.select("run", "plate_id"), "run").groupBy("plate_id").agg(F.count_distinct("protein").alias("proteins"))
+    j = tic.join(prot.withColumnRenamed("plate_id", "__p"), F.col("plate_id").eqNullSafe(F.col("__p")))
+    return j.select("plate_id", "runs", "proteins", "median_tic")
+
+
 @reg.add("select column_name as name from (describe diann_report)")
 def sc1_columns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in column_names(read(spark, d, "diann_report"))], "name string")
