@@ -111,7 +111,7 @@ def find_cut(df: DataFrame, text: str, source: str) -> DataFrame:
     """(src, text, copies, cut, reason) of distinct texts that are not blank."""
     t = cut_lineage(texts(df, text, source))  # read for the learned tables and for the ends
     is_next = lambda x: F.sum((F.col("next") == x).cast("long"))
-    per = _steps(t).groupBy("src", "a", "b").agg(is_next("word").alias("on"), is_next("stop").alias("stop"), is_next("end").alias("end"))
+    per = cut_lineage(_steps(t).groupBy("src", "a", "b").agg(is_next("word").alias("on"), is_next("stop").alias("stop"), is_next("end").alias("end")))
     local = per.select("src", "a", "b", F.col("on").alias("here_on"), (F.col("end") + F.col("stop")).alias("here_end"))
     pairs = per.groupBy("a", "b").agg(F.sum("on").alias("goes_on"), F.sum("stop").alias("stops"), F.sum("end").alias("ends"))
     words = pairs.groupBy("b").agg(F.sum("goes_on").alias("w_on"), F.sum("stops").alias("w_stop"), F.sum("ends").alias("w_end"))
