@@ -53,6 +53,7 @@ def texts(df: DataFrame, text: str, source: str) -> DataFrame:
     t = F.col("__t")
     rows = df.select(F.col(text).alias("__t"), source_key(F.col(source)).alias("src")).filter(t.isNotNull())
     rows = rows.groupBy("src", "__t").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("everywhere", F.sum("copies").over(Window.partitionBy("__t")))  # as many rows of a text as it has sources
     blanks = F.lit(BLANKS)
     rows = rows.withColumn("trimmed", F.rtrim("__t", blanks)).filter(F.col("trimmed") != "")
     last_part = F.right("trimmed", F.lit(END))
@@ -66,7 +67,7 @@ def texts(df: DataFrame, text: str, source: str) -> DataFrame:
     bare = F.concat(F.substring(b, F.lit(1), F.length(b) - F.length(e)), F.regexp_replace(e, CLIPPED, ""))
     tokens = F.transform(F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0)), _shape)
     return rows.select(
-        "src", F.col("__t").alias("text"), "copies", F.length(t).alias("n"), tokens.alias("tokens"),
+        "src", F.col("__t").alias("text"), "copies", "everywhere", F.length(t).alias("n"), tokens.alias("tokens"),
         e.rlike(CLIPPED).alias("clipped"), e.rlike(STOP_END).alias("stopped"),
         F.when(F.rtrim("__t", F.lit("\x00")).endswith("\n"), "line").otherwise(F.when(e.rlike(r"[}\]>]$"), F.right(e, F.lit(1))).otherwise("")).alias("last_char"),
         F.when(F.length(last) <= 80, F.regexp_extract(last, r"^\S+", 0)).otherwise("").alias("last_word"),
@@ -144,7 +145,7 @@ def find_cut(df: DataFrame, text: str, source: str) -> DataFrame:
         .when(formed & (zero("here_on") > zero("here_end")), "goes on")
         .when(formed & unknown & F.col("usual_end").isNull(), "prefix")
         .when(formed | F.col("stopped"), None)
-        .when(phrase & (F.col("copies") >= 5), None)
+        .when(phrase & (F.col("everywhere") >= 5), None)
         .when(unknown, "prefix")
         .when(F.coalesce(F.col("at_limit"), F.lit(False)), "limit")
         .when(goes_on > stops, "goes on")
