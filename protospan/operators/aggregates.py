@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from protospan.functions.scalars import split_group
+from protospan.sources.report import exact_sum
 
 Z95 = 1.96
 FLOOR = 1e-10
@@ -30,7 +31,7 @@ def protein_stats(quant: DataFrame, runs: int | Column) -> DataFrame:
     """protein, mean, sample variance (0 for one value), detections, rate over all runs; observed values only."""
     q = quant.filter("intensity > 0")
     n = F.lit(runs) if isinstance(runs, int) else runs
-    return q.groupBy("protein").agg(F.avg("intensity").alias("mean"), F.coalesce(F.var_samp("intensity"), F.lit(0.0)).alias("variance"), F.count("*").alias("detections")).withColumn("rate", F.col("detections") / n)
+    return q.groupBy("protein").agg((exact_sum(F.col("intensity")) / F.count("*")).alias("mean"), F.coalesce(F.var_samp("intensity"), F.lit(0.0)).alias("variance"), F.count("*").alias("detections")).withColumn("rate", F.col("detections") / n)
 
 
 def gene_collapse(quant: DataFrame, genes: DataFrame) -> DataFrame:

@@ -303,10 +303,10 @@ def ag9_condition_median(spark: SparkSession, d: str) -> DataFrame:
     return A.condition_median(L.quant(spark, d), L.run_dim(spark, d)).withColumn("median", r2(F.col("median"), 4))
 
 
-@reg.add(W + "select protein, round(avg(intensity), 6) as mean, round(coalesce(stddev_samp(intensity), 0), 3) as sd, count(*) as detections, round(count(*) / (select count(*) from scal), 6) as rate from quant where intensity > 0 group by 1")
+@reg.add(W + "select protein, cast(sum(cast(intensity as decimal(28,6))) as double) / count(*) as mean, round(coalesce(stddev_samp(intensity), 0), 3) as sd, count(*) as detections, round(count(*) / (select count(*) from scal), 6) as rate from quant where intensity > 0 group by 1")
 def ag10_protein_stats(spark: SparkSession, d: str) -> DataFrame:
     n = R.run_scalars(L.passed(spark, d)).agg(F.count("*")).scalar()
-    return A.protein_stats(L.quant(spark, d), n).select("protein", r2(F.col("mean"), 6).alias("mean"), r2(F.sqrt("variance"), 3).alias("sd"), "detections", r2(F.col("rate"), 6).alias("rate"))
+    return A.protein_stats(L.quant(spark, d), n).select("protein", "mean", r2(F.sqrt("variance"), 3).alias("sd"), "detections", r2(F.col("rate"), 6).alias("rate"))
 
 
 @reg.add(W + 'select run, gene, "value" from gval')
@@ -431,11 +431,11 @@ def ag26_depth(spark: SparkSession, d: str) -> DataFrame:
 # ---- rankings
 
 
-@reg.add(f'with {REP}, {_PROFILE}, t as (select *, row_number() over (partition by gene order by round(median, 9) desc, cell_type) r from prof) select gene, max(cell_type) filter (r = 1) as best, max(cell_type) filter (r = 2) as second, round(max(median) filter (r = 1) - coalesce(max(median) filter (r = 2), 0), 6) as margin from t group by 1')
+@reg.add(f'with {REP}, {_PROFILE}, t as (select *, row_number() over (partition by gene order by round(median, 9) desc, cell_type) r from prof) select gene, max(cell_type) filter (r = 1) as best, max(cell_type) filter (r = 2) as second, round(max(median) filter (r = 1) - coalesce(max(median) filter (r = 2), 0), 5) as margin from t group by 1')
 def w4_best_types(spark: SparkSession, d: str) -> DataFrame:
     p = A.reference_profiles(L.gene_values(spark, d), L.labels(spark, d)).withColumn("median", r2(F.col("median"), 9))
     t = K.first_two(p, ["gene"], "cell_type", "median")
-    return t.select("gene", "best", "second", r2(F.col("margin"), 6).alias("margin"))
+    return t.select("gene", "best", "second", r2(F.col("margin"), 5).alias("margin"))
 
 
 @reg.add(W + "select protein, run, rank() over (partition by protein order by intensity) + (count(*) over (partition by protein, intensity) - 1) / 2.0 as rank from quant where intensity > 0")
