@@ -15,7 +15,8 @@ def watch_reports(spark: SparkSession, folder: str, table: str, checkpoint: str)
     The file source tells new files; the hash table beside the data tells copies under other names. A batch that is
     repeated after a failure finds its own hashes and adds nothing.
     """
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+    layout = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.schema(layout).format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
 
     def batch(df: DataFrame, number: int) -> None:
         files = df.select("path", F.sha2("content", 256).alias("hash")).groupBy("hash").agg(F.min("path").alias("path"))
