@@ -209,9 +209,10 @@ METHODS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"standard": s
 def high_gate(cells: DataFrame, runs: int | Column, share: float = 0.5, top: float = 0.25) -> DataFrame:
     """cells with high: genes in more than ``share`` of the cells need the value at place floor((1 - top)(n - 1)); others count once seen."""
     n = F.lit(runs) if isinstance(runs, int) else runs
-    s = cells.groupBy("gene").agg(F.count("*").alias("__n"), F.array_sort(F.collect_list("value")).alias("__v"))
-    s = s.select("gene", F.when(F.col("__n") > share * n, F.get("__v", F.floor((1 - top) * (F.col("__n") - 1)).cast("int"))).alias("__t"))
-    return cells.join(s, "gene").withColumn("high", F.col("__t").isNull() | (F.col("value") >= F.col("__t"))).drop("__t")
+    w = Window.partitionBy("gene")
+    r = cells.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy("value")))
+    at = r.filter((F.col("__n") > share * n) & (F.col("__r") == F.floor((1 - top) * (F.col("__n") - 1)) + 1)).select("gene", F.col("value").alias("__t"))
+    return cells.join(at, "gene", "left").withColumn("high", F.col("__t").isNull() | (F.col("value") >= F.col("__t"))).drop("__t")
 
 
 def marker_classify(cells: DataFrame, panels: DataFrame, floor: int = 2) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_CELLS = 50_000_000
+PACK = 1024
 
 
 def total_scale(quant: DataFrame) -> DataFrame:
@@ -34,12 +35,13 @@ def log_scaled(quant: DataFrame) -> DataFrame:
 def fill_matrix(long: DataFrame, runs: DataFrame, how: str = "mean") -> DataFrame:
     """protein, run, x, observed: every pair, missing ones by the protein's observed mean or 0.
 
-    The full table is runs x proteins by definition; pairs are made by exploding each protein's missing runs.
+    The full table is runs x proteins by definition; pairs are made from packs of run names.
     """
     per = long.groupBy("protein").agg(F.avg("x").alias("__m"))
-    block = runs.select(F.col("run")).withColumn("__b", F.pmod(F.xxhash64("run"), F.lit(64)))
-    packs = block.groupBy("__b").agg(F.collect_list("run").alias("__runs"))
-    pairs = per.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(packs, "__b").select("protein", "__m", F.explode("__runs").alias("run"))
+    packs_n = F.greatest(F.lit(1), F.ceil(runs.agg(F.count("*")).scalar() / PACK)).cast("int")
+    block = runs.select(F.col("run")).withColumn("__b", F.pmod(F.xxhash64("run"), packs_n).cast("int"))
+    packs = block.groupBy("__b").agg(F.collect_list("run").alias("__runs"))  # about PACK names each
+    pairs = per.withColumn("__b", F.explode(F.sequence(F.lit(0), packs_n - 1))).join(packs, "__b").select("protein", "__m", F.explode("__runs").alias("run"))
     j = pairs.join(long, ["protein", "run"], "left")
     value = F.col("__m") if how == "mean" else F.lit(0.0)
     return j.select("protein", "run", F.coalesce("x", value).alias("x"), F.col("x").isNotNull().alias("observed"))
@@ -210,6 +212,26 @@ def project(vectors: DataFrame, vector: str, mean: np.ndarray, loadings: np.ndar
     return vectors.withColumn(name, F.array(*comps))
 
 
+def top_loadings(loadings: np.ndarray, names: list[str], k: int = 10) -> list[tuple[int, int, str, float]]:
+    """(component, rank, name, loading): the k largest by absolute value of each component, ties by name."""
+    out = []
+    for c in range(loadings.shape[1]):
+        order = sorted(range(len(names)), key=lambda i: (-abs(loadings[i, c]), names[i]))[:k]
+        out += [(c, r, names[i], float(loadings[i, c])) for r, i in enumerate(order, 1)]
+    return out
+
+
+def pca_of_matrix(wide: pd.DataFrame, depth: pd.Series, most: int = 30) -> tuple[Pca, float]:
+    """NIPALS with min(most, n - 1, p - 1) components (n >= 3, p >= 2) and the largest |rank correlation| of the first five with depth."""
+    n, p = wide.shape
+    if n < 3 or p < 2:
+        raise ValueError(f"a matrix of {n} x {p} is too small")
+    got = nipals(wide.to_numpy(), min(most, n - 1, p - 1))
+    d = depth.reindex(wide.index).rank().to_numpy()
+    rho = [abs(np.corrcoef(pd.Series(got.scores[:, k]).rank(), d)[0, 1]) for k in range(min(5, got.scores.shape[1])) if np.std(got.scores[:, k]) > 0 and np.std(d) > 0]
+    return got, float(max(rho, default=0.0))
+
+
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
     """Local quadratic fit with tricube weights; a flat system takes the weighted mean, under 5 points the data."""
     n = len(x)

@@ -13,7 +13,7 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int, name: st
 
 
 def first_two(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
-    """best, second, margin per key by value, ties by label; one value leaves second null and margin the value."""
+    """best, second, margin per key by value, ties by label; one value leaves second null and margin the value. A key has a few labels (classes), which meet in one array."""
     pairs = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(label).alias("l"))))
     g = df.groupBy(*keys).agg(F.slice(pairs, 1, 2).alias("__p"))
     best, second = F.get("__p", F.lit(0)), F.get("__p", F.lit(1))

@@ -172,5 +172,18 @@ def distill(x: DataFrame, labels: DataFrame, queries: DataFrame, runs: int, c: D
     return labels, history
 
 
+def relaxed_markers(stats: DataFrame, tests: DataFrame, overall: DataFrame, least: int = 20, steps: int = 5) -> tuple[DataFrame, int]:
+    """Markers with delta and detection lowered step by step to 0.25 and 0.15 until ``least`` pass, and the steps taken.
+
+    The limit on q and the share of cells stay as they are.
+    """
+    j = None
+    for i in range(steps + 1):
+        j = select_markers(stats, tests, overall, detection=0.3 - 0.15 * i / steps, delta=0.5 - 0.25 * i / steps)
+        if j.count() >= least:
+            return j, i
+    return j, steps
+
+
 def population_sd(values: list[float]) -> float:
     return float(np.std(np.asarray(values, float)))

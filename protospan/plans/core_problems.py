@@ -56,7 +56,13 @@ def p2_runs_wide(spark: SparkSession, d: str, block: int = 0, block_width: int =
     cells = _report_cells(spark, d)
     names = eav.dictionary(read(spark, d, "diann_report").select(text_or_null(F.col("`Protein.Group`")).alias("attribute")), "attribute")
     mine = names.filter(F.floor(F.col("idx") / block_width) == block).orderBy("idx").collect()  # block_width names at most
-    return eav.wide_rows(eav.sparse_rows(cells, names, block_width), [(r.idx, r.attribute, "double") for r in mine], block, "Run")
+    seen: set[str] = {"run"}
+    columns = []
+    for r in mine:  # column names differ without case: a later one gets its number
+        name = r.attribute if r.attribute.lower() not in seen else f"{r.attribute}#{r.idx}"
+        seen.add(name.lower())
+        columns.append((r.idx, name, "double"))
+    return eav.wide_rows(eav.sparse_rows(cells, names, block_width), columns, block, "Run")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,4 +107,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("report_row", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("field_name"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cell_features_wide, p3_found, p3_report, p4_found, p5_found, p5_filled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cell_features_wide, p2_runs_wide, p3_found, p3_report, p4_found, p5_found, p5_filled)}

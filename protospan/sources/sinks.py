@@ -76,3 +76,10 @@ def write_lines(df: DataFrame, lines: list[str], folder: str) -> None:
 def csv_report(df: DataFrame, columns: list[str], folder: str, sep: str = ",") -> None:
     """A report with fixed columns in order, 'NA' for missing ranks left to the caller."""
     df.select(*columns).write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(folder)
+
+
+def build_reference_store(expression: DataFrame, cells: DataFrame, folder: str) -> None:
+    """Profiles of counts per cell type (gene, cell, count with cell, cell_type) as a table of their own."""
+    from protospan.operators.aggregates import count_profiles
+
+    replace_folder(count_profiles(expression, cells), folder)
