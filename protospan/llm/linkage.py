@@ -71,7 +71,7 @@ def parse_names(files: DataFrame, key: str, name: str) -> DataFrame:
     rows = rows.filter(b.isNotNull() & ~b.rlike(NO_CELL))
     both = r"(?i)-d0*(\d+)-([A-P])0*(\d{1,2})(?=[_\-]|$)"
     grid = r"(?i)[_\-]r0*(\d{1,2})c0*(\d{1,2})(?=[_\-]|$)"
-    lone = r"(?i)[_\-]([A-P])-?0*(\d{1,2})(?=[_\-]|$)"
+    lone = r"(?i)[_\-]([A-P])-?(\d{1,2})(?=[_\-]|$)"  # two digits at most: G020 is a run tag
     drop = F.coalesce(_part(b, both), _part(b, r"(?i)[_\-]drop0*(\d+)(?=[_\-]|$)")).cast("long")
     by_grid = F.when((_part(b, grid).cast("int") >= 1) & (_part(b, grid).cast("int") <= len(ROWS)), F.concat(F.substring(F.lit(ROWS), _part(b, grid).cast("int"), F.lit(1)), _part(b, grid, 2).cast("int").cast("string")))
     well = F.coalesce(well_key(_part(b, both, 2), _part(b, both, 3)), by_grid, F.when(drop.isNull(), well_key(_part(b, lone), _part(b, lone, 2))))

@@ -6,13 +6,14 @@ from protospan.llm import linkage as L
 
 
 def test_names(spark):
-    names = ["SVN000001_F8GL_drop011_20250121", "OBN-TBN000005-d98-J10", "20250120_Kiv_SVN000001_D8_0140", "obn_pkc000002_l-10_20250302", "20250828-PKC000004-r02c12_new", "20260404_MWH000052_6L2M_0225 (1)", "20250121_Kiv_SVN000001_blank3", "x_QCmix_02", "LBG-000045", None]
+    names = ["SVN000001_F8GL_drop011_20250121", "OBN-TBN000005-d98-J10", "20250120_Kiv_SVN000001_D8_0140", "obn_pkc000002_l-10_20250302", "20250828-PKC000004-r02c12_new", "20260404_MWH000052_6L2M_0225 (1)", "20250121_Kiv_SVN000001_blank3", "x_QCmix_02", "LBG-000045", None, "20250117_FWL000019_N004_0306"]
     rows = {r.file_id: r for r in L.parse_names(spark.createDataFrame(list(enumerate(names)), "i long, n string"), "i", "n").collect()}
     assert (rows[0].plate_token, rows[0].tag, rows[0].drop, rows[0].well) == ("SVN000001", "F8GL", 11, None)
     assert (rows[1].plate_token, rows[1].drop, rows[1].well) == ("TBN000005", 98, "J10")
     assert (rows[2].well, rows[2].seq, rows[2].tag) == ("D8", 140, None)
     assert (rows[3].plate_token, rows[3].well) == ("PKC000002", "L10") and rows[4].well == "B12"
     assert (rows[5].tag, rows[5].seq, rows[5].well) == ("6L2M", 225, None)
+    assert (rows[10].tag, rows[10].seq, rows[10].well) == ("N004", 306, None)
     assert not {6, 7, 9} & set(rows) and rows[8].plate_token == "LBG000045"
 
 
