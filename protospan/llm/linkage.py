@@ -197,23 +197,26 @@ def solve(pairs: DataFrame, c: LinkConfig) -> DataFrame:
     held = z.columns
     for i in range(c.rounds):
         v = lambda u: F.col("z") - F.col(u)
-        s = z.withColumn("__sc", F.sum(v("uc")).over(by_cell)).withColumn("__sf", F.sum(v("uf")).over(by_file))
-        s = s.withColumn("__vn", F.lead(v("up")).over(along)).withColumn("__vp", F.lag(v("un")).over(along))
-        s = s.withColumn("xc", v("uc") - F.least(F.lit(ex), F.greatest(F.lit(0.0), (F.col("__sc") - 1) / F.col("__nc"))))
-        s = s.withColumn("xf", v("uf") - F.least(F.lit(ex), F.greatest(F.lit(0.0), (F.col("__sf") - 1) / F.col("__nf"))))
-        for x, u, other, on in (("xn", "un", "__vn", "__next"), ("xp", "up", "__vp", "__prev")):
+        s = z.withColumns({"__sc": F.sum(v("uc")).over(by_cell), "__sf": F.sum(v("uf")).over(by_file), "__vn": F.lead(v("up")).over(along), "__vp": F.lag(v("un")).over(along)})
+
+        def agree(u: str, other: str, on: str) -> Column:
             d = v(u) - F.col(other)
-            s = s.withColumn(x, F.when(F.col(on), v(u) - F.signum(d) * F.least(F.lit(tr), F.abs(d) / 2)).otherwise(v(u)))
+            return F.when(F.col(on), v(u) - F.signum(d) * F.least(F.lit(tr), F.abs(d) / 2)).otherwise(v(u))
+
         step = lambda q, u: F.when((F.col("z") - u - q["s"]) * q["d"] >= 0, F.col("z") - u).otherwise(
             F.when(q["d"] > 0, F.least(F.col("z") - u + q["w"] / rho, q["s"])).otherwise(F.greatest(F.col("z") - u - q["w"] / rho, q["s"])))
-        s = s.withColumn("x", F.zip_with("pots", "u", step))
+        s = s.withColumns({
+            "xc": v("uc") - F.least(F.lit(ex), F.greatest(F.lit(0.0), (F.col("__sc") - 1) / F.col("__nc"))),
+            "xf": v("uf") - F.least(F.lit(ex), F.greatest(F.lit(0.0), (F.col("__sf") - 1) / F.col("__nf"))),
+            "xn": agree("un", "__vn", "__next"),
+            "xp": agree("up", "__vp", "__prev"),
+            "x": F.zip_with("pots", "u", step),
+        })
         copies = F.size("pots") + 2 + F.col("__next").cast("int") + F.col("__prev").cast("int")
         total = F.aggregate(F.zip_with("x", "u", lambda x, u: x + u), F.lit(0.0), lambda a, b: a + b) + F.col("xc") + F.col("uc") + F.col("xf") + F.col("uf")
         total = total + F.when(F.col("__next"), F.col("xn") + F.col("un")).otherwise(0.0) + F.when(F.col("__prev"), F.col("xp") + F.col("up")).otherwise(0.0)
         s = s.withColumn("__z", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total / copies)))
-        s = s.withColumn("u", F.zip_with("x", "u", lambda x, u: u + x - F.col("__z")))
-        for x, u in (("xc", "uc"), ("xf", "uf"), ("xn", "un"), ("xp", "up")):
-            s = s.withColumn(u, F.col(u) + F.col(x) - F.col("__z"))
+        s = s.withColumns({"u": F.zip_with("x", "u", lambda x, u: u + x - F.col("__z")), **{u: F.col(u) + F.col(x) - F.col("__z") for x, u in (("xc", "uc"), ("xf", "uf"), ("xn", "un"), ("xp", "up"))}})
         z = s.withColumn("z", F.col("__z")).select(*held)
         if (i + 1) % c.rounds_per_cut == 0:
             z = cut_lineage(z)
