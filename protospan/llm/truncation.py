@@ -35,6 +35,8 @@ CLOSING_SHARE = 0.75
 LEAST_TEXTS = 4
 USUAL_END = 0.02
 PHRASE = 60
+CONTEXT = 3
+REPEATED, LEAST_COPIES = 5000, 5  # a repeated phrase has one in so many of all rows, and so many rows at least
 
 
 def source_key(c: Column) -> Column:
@@ -108,6 +110,31 @@ def _steps(t: DataFrame) -> DataFrame:
     return t.filter(k > 0).select("src", F.explode(step).alias("s")).select("src", "s.a", "s.b", "s.next").filter(~F.col("b").rlike(STOP))
 
 
+def _context(at: Column) -> Column:
+    """Hash of the tokens before place ``at``, CONTEXT of them at most."""
+    return F.xxhash64(F.concat_ws(" ", F.slice("tokens", F.greatest(at - CONTEXT + 1, F.lit(1)), F.least(at, F.lit(CONTEXT)))))
+
+
+def continued(t: DataFrame) -> DataFrame:
+    """text: phrases among many copies whose last tokens go on, or end in a longer word, elsewhere among the distinct texts.
+
+    A copy counts no more than one text. At most REPEATED texts have enough copies, so they are broadcast.
+    """
+    k = F.size("tokens")
+    rows = t.agg(F.sum("copies")).scalar()
+    mine = t.filter((F.col("n") <= PHRASE) & (k > 1) & (F.col("everywhere") >= LEAST_COPIES) & (F.col("everywhere") * REPEATED >= rows))
+    mine = mine.select("text", k.alias("k"), F.get("tokens", k - 1).alias("b"), _context(k - 1).alias("c")).distinct()
+    step = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(_context(i).alias("c"), F.get("tokens", i).alias("word"), F.get("tokens", i + 1).alias("next")))
+    steps = t.filter(k > 0).select(F.explode(step).alias("s")).select("s.c", "s.word", "s.next")
+    met = steps.join(F.broadcast(mine), "c").filter(F.col("word").startswith(F.col("b")))
+    same, stop = F.col("word") == F.col("b"), F.col("next").rlike(STOP)
+    per = met.groupBy("text", "k").agg(
+        F.count_if(~same).alias("longer"), F.count_if(same & F.col("next").isNotNull() & ~stop).alias("on"), F.count_if(same & (F.col("next").isNull() | stop)).alias("ends")
+    )
+    # a short phrase may well be the beginning of a sentence: words that follow count from a whole context on
+    return per.filter((F.col("longer") > 0) | ((F.col("on") > F.col("ends")) & (F.col("k") > CONTEXT))).select("text")
+
+
 def find_cut(df: DataFrame, text: str, source: str) -> DataFrame:
     """(src, text, copies, cut, reason) of distinct texts that are not blank."""
     t = cut_lineage(texts(df, text, source))  # read for the learned tables and for the ends
@@ -132,11 +159,14 @@ def find_cut(df: DataFrame, text: str, source: str) -> DataFrame:
     j = j.join(need.select(F.col("src").alias("__cs"), "needs_last_char", "needs_last_word", "needs_before_word"), F.col("src") == F.col("__cs"), "left").drop("__cs")
     lim = limits(t)
     j = j.join(lim.select(F.col("src").alias("__ms"), F.col("n").alias("__mn"), F.lit(True).alias("at_limit")), (F.col("src") == F.col("__ms")) & (F.col("n") == F.col("__mn")), "left").drop("__ms", "__mn")
+    go = continued(t).select(F.col("text").alias("__gt"), F.lit(True).alias("continued"))
+    j = j.join(go, F.col("text") == F.col("__gt"), "left").drop("__gt")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     lacks = lambda f: F.col(f"needs_{f}").isNotNull() & (F.col(f"needs_{f}") != F.col(f))
     formed = F.col("needs_last_char").isNotNull() | F.col("needs_last_word").isNotNull() | F.col("needs_before_word").isNotNull()
     unknown = (zero("w_on") + zero("w_stop") == 0) & (zero("below") > 0)
     phrase = ~F.col("inner_stop") & (F.col("n") <= PHRASE)
+    repeated = phrase & (F.col("everywhere") >= LEAST_COPIES) & (F.col("everywhere") * REPEATED >= t.agg(F.sum("copies")).scalar())
     goes_on, stops = zero("goes_on"), zero("stops")
     reason = (
         F.when(F.col("clipped"), "clipped")
@@ -145,7 +175,7 @@ def find_cut(df: DataFrame, text: str, source: str) -> DataFrame:
         .when(formed & (zero("here_on") > zero("here_end")), "goes on")
         .when(formed & unknown & F.col("usual_end").isNull(), "prefix")
         .when(formed | F.col("stopped"), None)
-        .when(phrase & (F.col("everywhere") >= 5), None)
+        .when(repeated & F.col("continued").isNull(), None)
         .when(unknown, "prefix")
         .when(F.coalesce(F.col("at_limit"), F.lit(False)), "limit")
         .when(goes_on > stops, "goes on")

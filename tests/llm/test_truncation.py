@@ -37,6 +37,13 @@ def test_cuts_are_found_and_complete_texts_are_not(spark):
     assert set(got) == {1000, 1001, 1002, 1003, 1004, 1005, 1006, 1007, 1018}
 
 
+def test_copies_of_a_cut_phrase_are_cases_and_of_a_whole_one_are_not(spark):
+    rows = corpus() + [(2000 + i, "The camera showed steady sig", "notes") for i in range(4)]
+    rows += [(2100 + i, "A droplet kept its usual brigh", "notes") for i in range(5)] + [(2200 + i, "This channel reached the upper limit", "notes") for i in range(40)]
+    rows += [(2300 + i, "same as the neighbour", "notes") for i in range(9)] + [(2400 + i, "all of the upper", "notes") for i in range(9)]
+    assert set(found(spark, rows)) == {*range(2000, 2004), *range(2100, 2105), *range(2200, 2240)}
+
+
 def test_length_limit(spark):
     r = random.Random(9)
     rows = []
