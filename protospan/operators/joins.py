@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from protospan.functions.lineage import cut_lineage
 from protospan.functions.scalars import name_tokens, natural_key
 
 
@@ -14,23 +15,45 @@ def explode_genes(quant: DataFrame, genes: DataFrame, parts: Column) -> DataFram
     return j.select(*quant.columns, F.explode(F.when(F.col("genes").isNotNull(), parts).otherwise(F.split("protein", ";"))).alias("gene"))
 
 
-def greedy_pairs(cells: DataFrame, files: DataFrame, rounds: int = 4) -> DataFrame:
+DROP, WELL = 0.9, 0.6
+
+
+def _alike(left: DataFrame) -> DataFrame:
+    """cell_id, file_id of the groups in which every cell has the same files and every file just these cells: the i-th cell gets the i-th file."""
+    cells = left.groupBy("cell_id").agg(F.struct(F.bit_xor(F.xxhash64("file_id")).alias("x"), F.count("*").alias("n"), F.min("file_id").alias("f")).alias("g"))
+    files = left.join(cells, "cell_id").groupBy("file_id").agg(F.min("g").alias("g"), F.max("g").alias("__o"), F.count("*").alias("met"))
+    sizes = cells.groupBy("g").agg(F.count("*").alias("size"))
+    files = files.join(sizes, "g").withColumn("own", (F.col("g") == F.col("__o")) & (F.col("met") == F.col("size")))
+    whole = files.groupBy("g").agg(F.count_if("own").alias("own")).filter("own = g.n").select("g")  # all files of the cells are their own
+    rank = lambda df, c: df.join(whole, "g", "left_semi").select("g", c, F.row_number().over(Window.partitionBy("g").orderBy(c)).alias("place"))
+    return rank(cells, "cell_id").join(rank(files.filter("own"), "file_id"), ["g", "place"]).select("cell_id", "file_id")
+
+
+def _without(left: DataFrame, won: DataFrame) -> DataFrame:
+    return left.join(won.select("cell_id"), "cell_id", "left_anti").join(won.select("file_id"), "file_id", "left_anti")
+
+
+def greedy_pairs(cells: DataFrame, files: DataFrame) -> DataFrame:
     """cell_id, file_id, score within a plate: 0.9 where a token of the name is the cell's drop ('d12', 'drop12'), 0.6 where one is its well.
 
-    Candidates come from equality of (plate, token). Greedy one-to-one by score, then ids: in every round the pairs that are
-    the best of both their cell and their file are taken, until no pair is left or ``rounds`` are over.
+    Candidates come from equality of (plate, token). Greedy one-to-one by score, then ids, until no pair is left: for each
+    score, groups of cells and files that are all candidates of each other are paired by rank; of the others every round
+    takes the pairs that are the best of both their cell and their file, so the first pair in order goes in each round.
     """
     tokens = files.select("plate_id", "file_id", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("token"))
     tokens = tokens.withColumn("token", F.regexp_replace("token", r"^drop0*(\d+)$", "d$1")).withColumn("token", F.regexp_replace("token", r"^([a-p])0*(\d+)$", "$1$2"))
-    marks = F.array(F.struct(F.concat(F.lit("d"), F.col("drop_no").cast("string")).alias("token"), F.lit(0.9).alias("score")), F.struct(F.lower("well").alias("token"), F.lit(0.6).alias("score")))
+    marks = F.array(F.struct(F.concat(F.lit("d"), F.col("drop_no").cast("string")).alias("token"), F.lit(DROP).alias("score")), F.struct(F.lower("well").alias("token"), F.lit(WELL).alias("score")))
     keys = cells.select("plate_id", "cell_id", F.explode(marks).alias("m")).select("plate_id", "cell_id", "m.token", "m.score").filter("token IS NOT NULL")
-    left = keys.join(tokens, ["plate_id", "token"]).groupBy("cell_id", "file_id").agg(F.max("score").alias("score"))
-    out = None
-    for _ in range(rounds):
-        best = left.withColumn("__c", F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("score"), "file_id"))).withColumn("__f", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("score"), "cell_id")))
-        won = best.filter("__c = 1 AND __f = 1").select("cell_id", "file_id", "score")
-        out = won if out is None else out.unionByName(won)
-        left = left.join(won.select("cell_id"), "cell_id", "left_anti").join(won.select("file_id"), "file_id", "left_anti")
+    every = cut_lineage(keys.join(tokens, ["plate_id", "token"]).groupBy("cell_id", "file_id").agg(F.max("score").alias("score")))
+    out = every.limit(0)
+    for score in (DROP, WELL):
+        left = cut_lineage(_without(every.filter(F.col("score") == score).select("cell_id", "file_id"), out))
+        while not left.isEmpty():
+            alike = _alike(left)
+            best = left.withColumn("__c", F.row_number().over(Window.partitionBy("cell_id").orderBy("file_id"))).withColumn("__f", F.row_number().over(Window.partitionBy("file_id").orderBy("cell_id")))
+            won = cut_lineage(alike.unionByName(best.filter("__c = 1 AND __f = 1").select("cell_id", "file_id")).distinct())
+            out = cut_lineage(out.unionByName(won.withColumn("score", F.lit(score))))
+            left = cut_lineage(_without(left, won))
     return out
 
 

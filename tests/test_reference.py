@@ -100,6 +100,14 @@ def test_positions(spark):
     assert [r.pos for r in got] == list(range(1500)) and [(r.o, r.t) for r in got] == sorted((r.o, r.t) for r in got)
 
 
+def test_greedy_pairs_go_on_until_none_is_left(spark):
+    cells = spark.createDataFrame([(1, i, 500 + i, "B7") for i in range(30)] + [(2, 100 + i, i + 1, None) for i in range(9)], "plate_id int, cell_id int, drop_no int, well string")
+    # plate 2: file i is a candidate of cells i and i + 1, so each pair depends on the one before
+    files = spark.createDataFrame([(1, 1000 + i, f"x{i}_b7") for i in range(25)] + [(2, 2000 + i, f"x_d{i + 1}_d{i + 2}") for i in range(8)], "plate_id int, file_id int, name string")
+    got = {tuple(r) for r in joins.greedy_pairs(cells, files).collect()}
+    assert got == {(i, 1000 + i, 0.6) for i in range(25)} | {(100 + i, 2000 + i, 0.9) for i in range(8)}
+
+
 def test_joins(spark):
     cells = spark.createDataFrame([(1, 1, 12, "A1"), (1, 2, 13, "A2"), (1, 3, 99, "A3")], "plate_id int, cell_id int, drop_no int, well string")
     files = spark.createDataFrame([(1, 10, "x_drop12_y"), (1, 11, "x_a02"), (1, 12, "x_a2_b")], "plate_id int, file_id int, name string")
