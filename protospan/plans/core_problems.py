@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from protospan.functions.lineage import cut_lineage
 from protospan.functions.missing import measured_or_null, text_or_null
 from protospan.operators import eav, impute, orphans, packed, spikes
 from protospan.sources.tables import read
@@ -51,18 +52,28 @@ def p2_cell_features_wide(spark: SparkSession, d: str) -> DataFrame:
     return eav.wide_rows(eav.sparse_rows(cells, fixed), columns, entity_name="cell_id").withColumn("cell_id", F.col("cell_id").cast("long"))
 
 
-def p2_runs_wide(spark: SparkSession, d: str, block: int = 0, block_width: int = 4096) -> DataFrame:
-    """One block of the run-by-group table; its column names come from that block of the dictionary only."""
+def p2_runs_wide(spark: SparkSession, d: str, block: int | None = None, block_width: int = 4096) -> DataFrame:
+    """The run-by-group table, or one block of its columns. Blocks are built one by one and joined by run; the driver learns the names of the columns made."""
     cells = _report_cells(spark, d)
     names = eav.dictionary(read(spark, d, "diann_report").select(text_or_null(F.col("`Protein.Group`")).alias("attribute")), "attribute")
-    mine = names.filter(F.floor(F.col("idx") / block_width) == block).orderBy("idx").collect()  # block_width names at most
+    if block is None:
+        names = cut_lineage(names)  # read once per block
+    sparse = eav.sparse_rows(cells, names, block_width)
+    if block is None:
+        sparse = cut_lineage(sparse)
+    blocks = [block] if block is not None else range(max(1, -(-names.count() // block_width)))
     seen: set[str] = {"run"}
-    columns = []
-    for r in mine:  # column names differ without case: a later one gets its number
-        name = r.attribute if r.attribute.lower() not in seen else f"{r.attribute}#{r.idx}"
-        seen.add(name.lower())
-        columns.append((r.idx, name, "double"))
-    return eav.wide_rows(eav.sparse_rows(cells, names, block_width), columns, block, "Run")
+    out = None
+    for n in blocks:
+        mine = names.filter(F.floor(F.col("idx") / block_width) == n).orderBy("idx").collect()  # block_width names at most
+        columns = []
+        for r in mine:  # column names differ without case: a later one gets its number
+            name = r.attribute if r.attribute.lower() not in seen else f"{r.attribute}#{r.idx}"
+            seen.add(name.lower())
+            columns.append((r.idx, name, "double"))
+        one = eav.wide_rows(sparse, columns, n, "Run")
+        out = one if out is None else out.join(one, "Run", "full")
+    return out
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

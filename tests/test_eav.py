@@ -56,3 +56,12 @@ def test_groups_cross_batches(spark, width):
         assert eav.filled_cells(eav.sparse_rows(eav.long_cells(df, "e", "a", "v"), names, width), names).count() == 40
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_all_blocks_of_the_run_table(spark, data):
+    from protospan.plans.core_problems import p2_runs_wide
+
+    whole = {r.Run: r.asDict() for r in p2_runs_wide(spark, data).collect()}
+    got = p2_runs_wide(spark, data, block_width=200)
+    assert got.columns == p2_runs_wide(spark, data).columns and len(got.columns) > 401
+    assert {r.Run: r.asDict() for r in got.collect()} == whole
