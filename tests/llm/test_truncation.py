@@ -56,6 +56,19 @@ def test_length_limit(spark):
     assert got - cut == set()
 
 
+def test_a_common_form_that_whole_texts_may_lack_is_no_closing(spark):
+    r = random.Random(21)
+    rows = [(i, "# Help\n\n" + sentence(r) + ("\n```\n" if r.random() < 0.8 else " ") + sentence(r), "pages") for i in range(400)]
+    rows += [(900 + i, f"# Help\n\n{sentence(r)}\nThe camera showed stea", "pages") for i in range(3)]
+    assert set(found(spark, rows)) == {900, 901, 902}
+
+
+def test_long_footers_are_no_text(spark):
+    refs = " Refs: " + ", ".join(f"[{i}]" for i in range(300)) + " (see page 3) [saved] :)"
+    rows = corpus() + [(3000, sentence(random.Random(4)) + refs, "notes"), (3001, "The camera showed steady signal in the blanks. The nozzle reached the upp" + refs, "notes")]
+    assert set(found(spark, rows)) == {3001}
+
+
 def test_empty_table_and_very_long_text(spark):
     assert found(spark, []) == {}
     long = "The camera showed steady signal in the blanks. " * 20000
