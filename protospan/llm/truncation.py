@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from protospan.functions.lineage import cut_lineage
 
 # fixed values: marks that systems put behind a text, which say nothing about its end, and the characters they end in
-FOOTER = r"(?:(?<!\s)\s*+(?:\[saved\]|[Rr]efs?: (?:\[\d{1,4}\],? ?)++|\(see [^()\n]{1,40}\)|[:;]-?[)(DP]|[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]))+$"
+FOOTER = r"(?:(?<!\s)\s*+(?:\[saved\]|[Rr]efs?: \[\d{1,4}\](?:,? ?\[\d{1,4}\])*+,?|\(see [^()\n]{1,40}\)|[:;]-?[)(DP]|[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]))++$"
 FOOTER_END = r"[\])(DP,\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]"
 # fixed values: marks of clipping; a mark in brackets has 60 characters at most by its pattern
 CLIPPED = r"(?:…|\.\.\.|\x{FFFD}|\[[^\[\]\n]{0,30}(?:clipped|truncated|cut off|continued|more)[^\[\]\n]{0,10}\]|\((?:truncated|continued|more)\))$"
@@ -35,7 +35,7 @@ CLOSERS = "\"'”’»)]`*_"
 NUMBER = r"\d+(?:[.,:]\d+)*+"
 TOKEN = r"[a-z0_\-'’]++(?![\p{L}\p{M}])|\p{IsHan}|[[\p{L}\p{M}\d_\-'’]&&[^\p{IsHan}]]++|[.?!。？！]++|\n++"
 STOP = r"^[.?!。？！\n]"
-WINDOW = 400  # characters of the end that are cut into tokens first; a text whose last two tokens are longer is cut whole
+WINDOW = 120  # characters of the end that are cut into tokens first; a text whose last two tokens are longer is cut whole
 FORMS = ("last_char", "last_word", "before_word")
 CLOSING_SHARE = 0.75
 LACKING = 0.5  # of the texts without a form so many must carry evidence of their own
@@ -51,6 +51,11 @@ def source_key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
 
+def _trimmed(text: Column) -> Column:
+    """Without blanks at the end; most texts have none and are passed on as they are."""
+    return F.when(F.right(text, F.lit(1)).isin(*BLANKS), F.rtrim(text, F.lit(BLANKS))).otherwise(text)
+
+
 def tokens_of(text: Column) -> Column:
     """Words in lower case with digits alike, runs of stops, line ends."""
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), NUMBER, "0"), F.lit(TOKEN), F.lit(0))
@@ -63,15 +68,17 @@ def _is_stop(token: Column) -> Column:
 def ends(df: DataFrame, text: str, source: str, *also: str) -> DataFrame:
     """Rows that are not blank with ``src``, the hashes and length that tell texts apart, ``body`` (the text without what systems put behind it) and the features of its end."""
     t = F.col("__t")
-    blanks = F.lit(BLANKS)
-    rows = df.select(*[F.col(c) for c in also], F.col(text).alias("__t"), source_key(F.col(source)).alias("src")).filter(t.isNotNull()).withColumn("trimmed", F.rtrim("__t", blanks)).filter(F.col("trimmed") != "")
+    rows = df.select(*[F.col(c) for c in also], F.col(text).alias("__t"), source_key(F.col(source)).alias("src")).filter(t.isNotNull()).withColumn("trimmed", _trimmed(t)).filter(F.col("trimmed") != "")
     trimmed = F.col("trimmed")
     last = F.right(trimmed, F.lit(1))
     marked = last.isin("…", "�") | trimmed.endswith("...") | (last.isin("]", ")") & F.right(trimmed, F.lit(MARK)).rlike(CLIPPED))
-    rows = rows.withColumn("body", F.when(~marked & last.rlike(FOOTER_END), F.rtrim(F.regexp_replace(trimmed, FOOTER, ""), blanks)).otherwise(trimmed)).filter(F.col("body") != "")
+    rows = rows.withColumn("body", F.when(~marked & last.rlike(FOOTER_END), _trimmed(F.regexp_replace(trimmed, FOOTER, ""))).otherwise(trimmed)).filter(F.col("body") != "")
     b = F.col("body")
     last_line = F.substring_index(b, "\n", -1)
-    above = F.rtrim(F.substring(b, F.lit(1), F.length(b) - F.length(last_line)), blanks)
+    lines = F.split(F.substring_index(b, "\n", -3), "\n")
+    above = F.get(lines, F.size(lines) - 2)
+    above = F.when(F.trim(above, F.lit(BLANKS)) != "", above).otherwise(F.get(lines, F.size(lines) - 3))  # past one blank line
+    lone = F.length(last_line) == F.length(b)
     first_word = lambda line: F.regexp_extract(line, r"^\s*+(\S+)", 1)
     tail = F.right(b, F.lit(MARK))
     inner = F.rtrim(tail, F.lit(CLOSERS))
@@ -80,9 +87,9 @@ def ends(df: DataFrame, text: str, source: str, *also: str) -> DataFrame:
         *also, "src", F.xxhash64("__t").alias("h1"), F.xxhash64(F.lit(1), "__t").alias("h2"), F.length("__t").alias("n"), "body",
         (end.isin("…", "�") | b.endswith("...") | (end.isin("]", ")") & tail.rlike(CLIPPED))).alias("clipped"),
         F.right(F.when(inner == "", F.rtrim(b, F.lit(CLOSERS))).otherwise(inner), F.lit(1)).isin(*STOPS).alias("stopped"),
-        F.when(F.rtrim("__t", F.lit("\x00")).endswith("\n"), "line").otherwise(F.when(end.isin("}", "]", ">"), end).otherwise("")).alias("last_char"),
-        F.when(above == "", "").otherwise(first_word(last_line)).alias("last_word"),
-        F.when(above == "", "").otherwise(first_word(F.substring_index(above, "\n", -1))).alias("before_word"),
+        F.when(t.endswith("\n") | (t.endswith("\x00") & F.rtrim(t, F.lit("\x00")).endswith("\n")), "line").otherwise(F.when(end.isin("}", "]", ">"), end).otherwise("")).alias("last_char"),
+        F.when(lone, "").otherwise(first_word(last_line)).alias("last_word"),
+        F.when(lone, "").otherwise(F.coalesce(first_word(above), F.lit(""))).alias("before_word"),
         (F.substring(b, 1, 1).isin("{", "[") & (F.length(F.translate(b, "{[", "")) != F.length(F.translate(b, "}]", "")))).alias("unbalanced"),
     )
 
