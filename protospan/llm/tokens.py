@@ -4,10 +4,11 @@ Texts are cut into pre-tokens by the vocabulary's pattern (in the JVM), exploded
 distinct pre-tokens, encoded once each by the merge ranks, joined back and put together by position. Decoding
 joins the table of token bytes.
 
-Scale: distinct pre-tokens combine map-side. The few pre-tokens that make up a thousandth of all or more (at
-most ``HOT`` by that definition) go to every task as a table of proven size; every other one holds under a
-thousandth of the rows, so the shuffled join has no hot key. The rank file (checked against ``MOST_RANK_BYTES``)
-is read once by the driver and sent to the workers.
+Scale: distinct pre-tokens combine map-side. Those that make up 1 / ``HOT`` of all or more (so at most ``HOT`` rows,
+of ``HOT_LENGTH`` characters) go to every task as a table of proven size; a shuffled key holds under 1 / ``HOT`` of
+the rows, less than a partition's share up to ``HOT`` partitions (a pre-token longer than that may be hotter; its rows
+are few, being long). Each id travels as one number that also holds its place, and a document's numbers combine
+map-side. The rank file (checked against ``MOST_RANK_BYTES``) is read once by the driver and sent to the workers.
 
 Defined results: null and empty texts give an empty list; text that looks like a special token is plain text;
 every row keeps its own result even where ids or texts repeat; an empty table gives an empty result; other
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 
 # fixed values: how the public byte-level vocabularies split text before merging
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# the same split in the JVM: blanks by Unicode; plain words and numbers first, where no other alternative could match earlier
+PRE_TOKEN = "(?U) ?[a-zA-Z]++(?!\\p{IsL})| ?[0-9]++(?!\\p{IsN})|" + PATTERN.replace(r"\p{L}", r"\p{IsL}").replace(r"\p{N}", r"\p{IsN}")
 VOCABULARY = "byte_bpe_50k"
-HOT = 1000
+HOT, HOT_LENGTH = 20_000, 128  # hot pre-tokens make up 1 / HOT of all; the broadcast has HOT rows of HOT_LENGTH characters at most
+ID_BITS, PART_BITS = 20, 12
+MOST_IDS = 1 << PART_BITS
 MOST_RANK_BYTES = 1 << 27
 ENCODED = "word string, ids array<int>"
 
@@ -57,8 +62,8 @@ def _load(path: str) -> bytes:
 
 
 def pre_tokens(text) -> "F.Column":
-    """The pre-tokens of a text in order; blanks by Unicode."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN.replace(r"\p{L}", r"\p{IsL}").replace(r"\p{N}", r"\p{IsN}")), F.lit(0))
+    """The pre-tokens of a text in order; blanks by Unicode. Plain words and numbers, which most are, are tried first."""
+    return F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -76,8 +81,13 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.select("word").mapInArrow(run, ENCODED)
 
 
+def _packed(ids) -> "F.Column":
+    """Each id as one number that sorts by its place in the word; a word of more than MOST_IDS ids has none."""
+    return F.when(F.size(ids) <= MOST_IDS, F.transform(ids, lambda x, i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(x.cast("long"))))
+
+
 def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
-    """(key, ids) of every row. Rows are told apart by a number of their own, so repeated keys stay apart."""
+    """(key, ids) of every row. Equal texts under one key bring each position as often as they repeat, and are told apart by that."""
     path = path or rank_file()
     rows = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
     blank = rows.filter(F.col("__t").isNull() | (F.col("__t") == "")).select(F.col("__k").alias(key), F.array().cast("array<int>").alias("ids"))
@@ -85,18 +95,27 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
     places = full.select("__k", F.xxhash64("__t").alias("__h"), F.posexplode(pre_tokens(F.col("__t"))).alias("pos", "word"))
     counts = full.select(F.explode(pre_tokens(F.col("__t"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
-    coded = encode_words(counts, path)
-    frequent = counts.filter(F.col("n") * HOT >= total)  # at most HOT rows, since their counts sum to the total at most
-    hot = encode_words(frequent, path).select(F.col("word").alias("hot_word"), F.col("ids").alias("hot_ids"))
+    is_hot = (F.col("n") * HOT >= total) & (F.length("word") <= HOT_LENGTH)  # at most HOT rows, since their counts sum to the total at most
+    hot = encode_words(counts.filter(is_hot), path).select(F.col("word").alias("hot_word"), F.col("ids").alias("hot_ids"), _packed(F.col("ids")).alias("hot_codes"))
+    coded = encode_words(counts.filter(~is_hot), path).select("word", "ids", _packed(F.col("ids")).alias("codes"))
     marked = places.join(F.broadcast(hot), F.col("word") == F.col("hot_word"), "left")
-    done = marked.filter(F.col("hot_ids").isNotNull()).select("__k", "__h", "pos", F.col("hot_ids").alias("ids"))
-    rare = marked.filter(F.col("hot_ids").isNull()).select("__k", "__h", "pos", "word").join(coded, "word").select("__k", "__h", "pos", "ids")
-    # equal texts under one key bring each position as often as they repeat: in order, every n-th is one text
-    parts = done.unionByName(rare).groupBy("__k", "__h").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("__p"))
-    parts = parts.withColumn("__n", F.size(F.filter("__p", lambda p: p["pos"] == 0)))
-    one = F.when(F.col("__n") == 1, F.col("__p")).otherwise(F.filter("__p", lambda p, i: i % F.col("__n") == 0))
-    ids = F.flatten(F.transform(one, lambda p: p["ids"]))
-    out = parts.select(F.col("__k").alias(key), ids.alias("ids"), F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__c")).select(key, "ids")
+    done = marked.filter(F.col("hot_ids").isNotNull()).select("__k", "__h", "pos", F.col("hot_ids").alias("ids"), F.col("hot_codes").alias("codes"))
+    rare = marked.filter(F.col("hot_ids").isNull()).select("__k", "__h", "pos", "word").join(coded.hint("shuffle_hash"), "word").select("__k", "__h", "pos", "ids", "codes")
+    # a number per id: place of the word, place in the word, id; a word of very many ids keeps its list
+    code = F.explode_outer(F.transform("codes", lambda c: F.shiftleft(F.col("pos").cast("long"), ID_BITS + PART_BITS).bitwiseOR(c))).alias("code")
+    every = done.unionByName(rare).select("__k", "__h", "pos", F.when(F.col("codes").isNull(), F.struct("pos", "ids")).alias("long"), code)
+    starts = ((F.col("pos") == 0) & (F.col("code").isNull() | (F.col("code") < 1 << ID_BITS))).cast("int")
+    parts = every.groupBy("__k", "__h").agg(F.sort_array(F.collect_list("code")).alias("__c"), F.array_sort(F.collect_list("long")).alias("__l"), F.sum(starts).alias("__n"))
+    id_of = lambda c: c.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
+    entry = lambda pos, ids, at: F.named_struct(F.lit("pos"), pos, F.lit("at"), at, F.lit("ids"), ids)
+    mixed = F.concat(
+        F.transform("__c", lambda c: entry(F.shiftrightunsigned(c, ID_BITS + PART_BITS).cast("int"), F.array(id_of(c)), F.shiftrightunsigned(c, ID_BITS))),
+        F.transform("__l", lambda p: entry(p["pos"], p["ids"], F.lit(0).cast("long"))),
+    )
+    n = F.col("__n").cast("int")
+    nth = lambda c: F.when(n == 1, c).otherwise(F.filter(c, lambda _, i: i % n == 0))
+    ids = F.when(F.size("__l") == 0, F.transform(nth(F.col("__c")), id_of)).otherwise(F.flatten(F.transform(nth(F.array_sort(mixed)), lambda p: p["ids"])))
+    out = parts.select(F.col("__k").alias(key), ids.alias("ids"), F.explode(F.array_repeat(F.lit(0), n)).alias("__x")).select(key, "ids")
     return out.unionByName(blank)
 
 
