@@ -2,13 +2,14 @@
 
 Texts of a source are put in a pseudorandom order and their tokens packed end to end into blocks of fixed length.
 Shares are turned into block draws per source: a source that cannot reach its share even at its cap of repeats gives
-all it may, and the others share the rest by their targets. Every output shard gets multinomial counts of its sources
-(drawn given the sources' totals, so that the caps hold exactly); the slots of a source run through one pseudorandom
-permutation of its blocks per repeat, and blocks are joined in by their number.
+all it may, and the others share the rest by their targets. Every output shard has the same number of blocks and gets
+multinomial counts of its sources, drawn given the sources' totals, so that shares and caps hold exactly; the slots of
+a source run through one pseudorandom permutation of its blocks per repeat, and blocks are joined in by their number.
 
-Scale: tokens are counted and placed by prefix sums over hash buckets, so no task sees a whole source; blocks have at
-most ``block`` tokens; only one row per listed source reaches the driver (the table of targets is the bound). The
-permutation is computed from the slot number, no order is stored or sorted.
+Scale: tokens are counted and placed by prefix sums over hash buckets of ``bucket`` tokens, so no task sees a whole
+source; blocks have at most ``block`` tokens; shards draw their counts in parallel by halving; only one row per listed
+source reaches the driver (the table of targets is the bound). The permutation is computed from the slot number, no
+order is stored or sorted.
 
 Defined results: spellings of a source are one source; texts of null or unlisted sources are not used; a listed source
 without tokens gets none and its share goes to the others; null and empty texts have no tokens; repeated rows count as
@@ -31,13 +32,16 @@ from protospan.llm.tokens import encode
 from protospan.llm.truncation import source_key
 
 
+MOST_EXACT = 1_000_000_000  # slots from which the generator's exact draw is out of range
+
+
 @dataclass(frozen=True)
 class MixConfig:
     block: int = 256  # tokens of a block
-    shard: int = 1024  # blocks of an output shard, about
+    shard: int = 1024  # blocks of an output shard; the final one has fewer
     total: int | None = None  # tokens of the mix; by default those of the listed sources
     seed: int = 17
-    buckets: int = 1024
+    bucket: int = 1 << 22  # tokens of a bucket that one task puts in order, about
     path: str | None = None
 
 
@@ -48,12 +52,15 @@ def token_texts(docs: DataFrame, key: str, text: str, source: str, c: MixConfig)
     return coded.select("k.src", "k.key", "ids").filter(F.size("ids") > 0)
 
 
-def pack(texts: DataFrame, c: MixConfig) -> DataFrame:
-    """src, block, ids, n: blocks of ``c.block`` tokens, the last of a source shorter."""
+def pack(texts: DataFrame, c: MixConfig, tokens: dict[str, int]) -> DataFrame:
+    """src, block, ids, n: blocks of ``c.block`` tokens, the last of a source shorter. ``tokens``: those of each source, which decide its buckets."""
     t = texts.select("src", "key", "ids", F.size("ids").cast("long").alias("n"), F.xxhash64("src", "key", F.lit(c.seed)).alias("h"), F.xxhash64("ids").alias("h2"))
-    t = t.withColumn("b", F.pmod("h", F.lit(c.buckets)))
+    buckets = F.lit(1).cast("long")
+    for src, n in tokens.items():  # one listed source each
+        buckets = F.when(F.col("src") == src, F.lit(max(1, -(-n // c.bucket))).cast("long")).otherwise(buckets)
+    t = t.withColumn("b", F.pmod("h", buckets))
     sums = t.groupBy("src", "b").agg(F.sum("n").alias("m"))
-    before = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # c.buckets rows at most
+    before = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     sums = sums.select(F.col("src").alias("__s"), F.col("b").alias("__b"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("at"))
     inside = Window.partitionBy("src", "b").orderBy("h", "key", "h2").rowsBetween(Window.unboundedPreceding, -1)
     placed = t.withColumn("in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, (F.col("src") == F.col("__s")) & (F.col("b") == F.col("__b")))
@@ -126,21 +133,62 @@ def _plan(spark: SparkSession, docs_per: DataFrame, targets: DataFrame, c: MixCo
     return out
 
 
+def _split(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source fall into ``left`` of all slots: multinomial given the totals (multivariate hypergeometric)."""
+    total = int(counts.sum())
+    if total < MOST_EXACT:
+        return rng.multivariate_hypergeometric(counts, left, method="marginals")
+    # beyond the generator's range: source by source by the normal law of the same mean and spread, kept feasible
+    out, rest, want = np.zeros_like(counts), total, left
+    for i, k in enumerate(counts.tolist()):
+        rest -= k
+        low, high = max(0, want - rest), min(k, want)
+        p = want / (rest + k) if rest + k else 0.0
+        spread = np.sqrt(max(0.0, k * p * (1 - p) * rest / max(1, rest + k - 1)))
+        out[i] = min(high, max(low, round(rng.normal(k * p, spread))))
+        want -= int(out[i])
+    return out
+
+
+def shard_counts(first: int, last: int, draws: np.ndarray, size: int, seed: int):
+    """(shard, counts, places before it) of shards first to last - 1, of ``size`` slots each (the final one shorter).
+
+    All slots are halved again and again, each half drawing its sources from what the whole has, by a generator of its
+    own; any range of shards is reached from the top in so many steps as halvings, so shards are drawn in parallel.
+    """
+    total = int(draws.sum())
+    shards = -(-total // size)
+
+    def walk(lo: int, hi: int, counts: np.ndarray, before: np.ndarray):
+        if hi <= first or lo >= last:
+            return
+        if hi - lo == 1:
+            yield lo, counts, before
+            return
+        mid = (lo + hi) // 2
+        left = _split(counts, (mid - lo) * size, np.random.default_rng([seed, lo, hi]))
+        yield from walk(lo, mid, left, before)
+        yield from walk(mid, hi, counts - left, before + left)
+
+    if shards:
+        yield from walk(0, shards, draws.astype(np.int64), np.zeros(len(draws), np.int64))
+
+
 def slots(spark: SparkSession, plan: list[dict], c: MixConfig) -> DataFrame:
     """shard, src, repeat, block: every slot of the mix with the block that fills it."""
-    n = max(1, -(-sum(p["draws"] for p in plan) // c.shard))
-    rows = [(i, p["src"], p["draws"], p["blocks"]) for i, p in enumerate(plan) if p["draws"]]
-    base = spark.createDataFrame(rows, "i int, src string, draws long, blocks long")
-    seed = c.seed
+    used = [p for p in plan if p["draws"]]
+    draws = np.array([p["draws"] for p in used], np.int64)
+    n, size, seed = -(-int(draws.sum()) // c.shard), c.shard, c.seed
+    names, blocks = [p["src"] for p in used], [p["blocks"] for p in used]
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
-            for r in g.itertuples(index=False):
-                k = np.random.default_rng([seed, int(r.i)]).multinomial(int(r.draws), np.full(n, 1 / n))
-                yield pd.DataFrame({"i": r.i, "src": r.src, "blocks": r.blocks, "shard": np.arange(n), "first": np.concatenate([[0], np.cumsum(k)[:-1]]), "count": k})
+            if len(g):
+                for shard, k, before in shard_counts(int(g["id"].iloc[0]), int(g["id"].iloc[-1]) + 1, draws, size, seed):
+                    yield pd.DataFrame({"src": names, "blocks": blocks, "shard": shard, "first": before, "count": k})
 
-    per = base.mapInPandas(counts, "i int, src string, blocks long, shard long, first long, count long").filter("count > 0")
-    one = per.select("i", "src", "blocks", "shard", F.explode(F.expr("sequence(first, first + count - 1)")).alias("k"))
+    per = spark.range(n).mapInPandas(counts, "src string, blocks long, shard long, first long, count long").filter("count > 0")
+    one = per.select("src", "blocks", "shard", F.explode(F.expr("sequence(first, first + count - 1)")).alias("k"))
     one = one.withColumn("repeat", F.floor(F.col("k") / F.col("blocks")))
 
     @F.pandas_udf(T.LongType())
@@ -155,8 +203,8 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, c
     c = c or MixConfig()
     texts = cut_lineage(token_texts(docs, key, text, source, c))  # read for the plan and for the blocks
     plan = _plan(docs.sparkSession, texts.groupBy("src").agg(F.sum(F.size("ids")).alias("tokens")), targets, c)
-    wanted = [p["src"] for p in plan if p["draws"]]
-    blocks = pack(texts.filter(F.col("src").isin(wanted)), c)
+    wanted = {p["src"]: p["tokens"] for p in plan if p["draws"]}
+    blocks = pack(texts.filter(F.col("src").isin(*wanted)), c, wanted)
     at = slots(docs.sparkSession, plan, c)
     return at.join(blocks, ["src", "block"]).select("shard", "src", "repeat", "block", "n", "ids"), plan
 

@@ -81,11 +81,6 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.select("word").mapInArrow(run, ENCODED)
 
 
-def _packed(ids) -> "F.Column":
-    """Each id as one number that sorts by its place in the word; a word of more than MOST_IDS ids has none."""
-    return F.when(F.size(ids) <= MOST_IDS, F.transform(ids, lambda x, i: F.shiftleft(i.cast("long"), ID_BITS).bitwiseOR(x.cast("long"))))
-
-
 def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, ids) of every row. Equal texts under one key bring each position as often as they repeat, and are told apart by that."""
     path = path or rank_file()
@@ -93,19 +88,25 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
     blank = rows.filter(F.col("__t").isNull() | (F.col("__t") == "")).select(F.col("__k").alias(key), F.array().cast("array<int>").alias("ids"))
     full = rows.filter(F.col("__t").isNotNull() & (F.col("__t") != ""))
     places = full.select("__k", F.xxhash64("__t").alias("__h"), F.posexplode(pre_tokens(F.col("__t"))).alias("pos", "word"))
-    counts = full.select(F.explode(pre_tokens(F.col("__t"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = full.select(F.explode(pre_tokens(F.col("__t"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.max(F.length("word")).alias("len"))  # a filter by length here would keep the count from being shared
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
-    is_hot = (F.col("n") * HOT >= total) & (F.length("word") <= HOT_LENGTH)  # at most HOT rows, since their counts sum to the total at most
-    hot = encode_words(counts.filter(is_hot), path).select(F.col("word").alias("hot_word"), F.col("ids").alias("hot_ids"), _packed(F.col("ids")).alias("hot_codes"))
-    coded = encode_words(counts.filter(~is_hot), path).select("word", "ids", _packed(F.col("ids")).alias("codes"))
+    is_hot = (F.col("n") * HOT >= total) & (F.col("len") <= HOT_LENGTH)  # at most HOT rows, since their counts sum to the total at most
+    hot = encode_words(counts.filter(is_hot), path).select(F.col("word").alias("hot_word"), F.col("ids").alias("hot_ids"))
+    coded = encode_words(counts.filter(~is_hot), path)
     marked = places.join(F.broadcast(hot), F.col("word") == F.col("hot_word"), "left")
-    done = marked.filter(F.col("hot_ids").isNotNull()).select("__k", "__h", "pos", F.col("hot_ids").alias("ids"), F.col("hot_codes").alias("codes"))
-    rare = marked.filter(F.col("hot_ids").isNull()).select("__k", "__h", "pos", "word").join(coded.hint("shuffle_hash"), "word").select("__k", "__h", "pos", "ids", "codes")
-    # a number per id: place of the word, place in the word, id; a word of very many ids keeps its list
-    code = F.explode_outer(F.transform("codes", lambda c: F.shiftleft(F.col("pos").cast("long"), ID_BITS + PART_BITS).bitwiseOR(c))).alias("code")
-    every = done.unionByName(rare).select("__k", "__h", "pos", F.when(F.col("codes").isNull(), F.struct("pos", "ids")).alias("long"), code)
-    starts = ((F.col("pos") == 0) & (F.col("code").isNull() | (F.col("code") < 1 << ID_BITS))).cast("int")
-    parts = every.groupBy("__k", "__h").agg(F.sort_array(F.collect_list("code")).alias("__c"), F.array_sort(F.collect_list("long")).alias("__l"), F.sum(starts).alias("__n"))
+    done = marked.filter(F.col("hot_ids").isNotNull()).select("__k", "__h", "pos", F.col("hot_ids").alias("ids"))
+    rare = marked.filter(F.col("hot_ids").isNull()).select("__k", "__h", "pos", "word").join(coded.hint("shuffle_hash"), "word").select("__k", "__h", "pos", "ids")
+    # a number per id: place of the word, place in the word, id. Most words have one id; those of several become numbers
+    # after the shuffle, and a word of very many ids keeps its list
+    place = F.shiftleft(F.col("pos").cast("long"), ID_BITS + PART_BITS)
+    k = F.size("ids")
+    every = done.unionByName(rare).select(
+        "__k", "__h", F.when(k == 1, place.bitwiseOR(F.get("ids", F.lit(0)).cast("long"))).alias("code"), (F.col("pos") == 0).cast("int").alias("first"),
+        F.when((k > 1) & (k <= MOST_IDS), F.struct("pos", "ids")).alias("more"), F.when(k > MOST_IDS, F.struct("pos", "ids")).alias("long"),
+    )
+    parts = every.groupBy("__k", "__h").agg(F.collect_list("code").alias("__c"), F.collect_list("more").alias("__m"), F.collect_list("long").alias("__l"), F.sum("first").alias("__n"))
+    number = lambda p, x, i: F.shiftleft(F.shiftleft(p["pos"].cast("long"), PART_BITS).bitwiseOR(i.cast("long")), ID_BITS).bitwiseOR(x.cast("long"))
+    parts = parts.withColumn("__c", F.sort_array(F.concat("__c", F.flatten(F.transform("__m", lambda p: F.transform(p["ids"], lambda x, i: number(p, x, i)))))))
     id_of = lambda c: c.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
     entry = lambda pos, ids, at: F.named_struct(F.lit("pos"), pos, F.lit("at"), at, F.lit("ids"), ids)
     mixed = F.concat(

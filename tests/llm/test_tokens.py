@@ -44,6 +44,13 @@ def test_repeats_and_empty_table(spark, enc):
     assert ids_of(spark, []) == []
 
 
+def test_words_of_very_many_ids(spark, enc, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_IDS", 3)
+    texts = ["aaaabbbbqzqzqzxkcd plain words", "plain", "xkcdqqzzyyvvwwkk 123456789012 end qqzzyyvvwwkk"]
+    rows = [(i, t, "", "") for i, t in enumerate(texts)] + [(2, texts[2], "", "")]
+    assert ids_of(spark, rows) == sorted((i, enc.encode_ordinary(t)) for i, t, _, _ in rows)
+
+
 def test_round_trip(spark):
     texts = [t for t in CASES if t is not None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
