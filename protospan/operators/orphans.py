@@ -5,8 +5,8 @@ Keys of usable parents go into a Bloom filter held as 64-bit words: built by one
 whose bits are not all set is a definite orphan; only references that pass are verified by an exact join,
 which also tells deleted and late parents.
 
-Scale: the filter's size is chosen from the parents' count and never above ``MOST_BITS`` (4 MB); beyond
-it more references pass to the join, with the same result. Repeated deliveries combine map-side; a hot
+Scale: the filter's size is chosen from the parents' count and never above ``MOST_BITS`` (4 MB, good for some
+2.8 million keys); beyond it more references pass to the join, with the same result. Repeated deliveries combine map-side; a hot
 parent meets one row per referring id, and AQE splits its partition.
 
 Defined results: a null reference is no case; a record delivered several times counts once, by its first
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_BITS = 1 << 25
@@ -64,7 +64,7 @@ def bloom_words(keys: DataFrame, key: str, bits: int) -> DataFrame:
 
 def may_contain(words: Column, key: Column, bits: int) -> Column:
     """False only where the key is certainly not in the filter."""
-    ok = F.lit(True)  # a subquery may not stand inside a lambda, so the places are spelled out; the plan reuses it
+    ok = F.lit(True)  # a subquery may not stand inside a lambda, so the places are spelled out
     for p in _places(key, bits):
         ok = ok & (F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
     return ok
@@ -76,18 +76,17 @@ def orphans(child: DataFrame, record: str, column: str, parent: DataFrame, key:
     parents = parent.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("__key")).agg(F.min(loaded).alias("__since"), gone.alias("__gone"))
     rows = child.filter(F.col(record).isNotNull())
     since = rows.groupBy(F.col(record).cast("long").alias("record_id"), F.col(column).cast("long").alias("__ref")).agg(F.min(loaded).alias("__seen"))
-    from pyspark.sql import Window
-
     since = since.withColumn("__seen", F.min("__seen").over(Window.partitionBy("record_id")))
     refs = since.filter(F.col("__ref").isNotNull())
     bits = bits_for(parent.select(key).count())
     words = bloom_words(parents, "__key", bits).scalar()
-    probed = refs.withColumn("__maybe", may_contain(words, F.col("__ref"), bits))
-    definite = probed.filter(~F.col("__maybe")).select("record_id", "__ref", "__seen", F.lit("missing").alias("reason"))
-    verify = probed.filter("__maybe").join(parents, F.col("__ref") == F.col("__key"), "left")
+    # the filter stands in one column, so that the plan holds its subquery once; only references that pass it meet the
+    # parents, the others keep a key of their own and join nothing
+    probed = refs.withColumn("__w", words).withColumn("__maybe", may_contain(F.col("__w"), F.col("__ref"), bits)).drop("__w")
+    probed = probed.withColumn("__z", F.when(F.col("__maybe"), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("record_id"), F.lit(1 << 30))))
+    verify = probed.join(parents.withColumn("__y", F.lit(0).cast("long")), (F.col("__ref") == F.col("__key")) & (F.col("__z") == F.col("__y")), "left")
     reason = F.when(F.col("__key").isNull(), "missing").when(F.col("__gone"), "deleted").when(F.col("__since") > F.col("__seen"), "late")
-    verified = verify.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("record_id", "__ref", "__seen", "reason")
-    out = definite.unionByName(verified)
+    out = verify.withColumn("reason", reason).filter(F.col("reason").isNotNull())
     return out.select(F.lit(table).alias("table_name"), "record_id", F.col("__ref").alias("reference"), "reason", F.col("__seen").alias("loaded_at"))
 
 
