@@ -57,9 +57,11 @@ def name_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Text whose order is natural: runs of digits padded with zeros."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"(\d+)", "0" * width + "$1"), r"0*(\d{%d})(?!\d)" % width, "$1")
+def natural_key(c: Column) -> Column:
+    """Text whose order is natural: a run of digits becomes its length without leading zeros, then these digits."""
+    digits = lambda x: F.ltrim(x, F.lit("0"))
+    piece = lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\d+|\D+"), F.lit(0)), piece), "")
 
 
 def trailing_number(c: Column) -> Column:

@@ -251,7 +251,7 @@ def otsu(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
 def folds(df: DataFrame, key: str, label: str, k: int, repeats: int = 1, seed: int = 42) -> DataFrame:
     """``df`` with repeat and fold, stratified by label: a place by seeded hash within the label, modulo k."""
     r = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy("repeat", label).orderBy(F.xxhash64(F.col(key), F.col("repeat"), F.lit(seed)), key)
+    w = Window.partitionBy("repeat", label).orderBy(F.md5(F.concat_ws("|", F.col(key), F.col("repeat").cast("string"), F.lit(str(seed)))), key)
     return r.withColumn("fold", (F.row_number().over(w) - 1) % k)
 
 

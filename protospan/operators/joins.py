@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protospan.functions.lineage import cut_lineage
-from protospan.functions.scalars import name_tokens, natural_key
+from protospan.functions.scalars import flat, name_tokens, natural_key
 
 
 def explode_genes(quant: DataFrame, genes: DataFrame, parts: Column) -> DataFrame:
@@ -34,16 +34,22 @@ def _without(left: DataFrame, won: DataFrame) -> DataFrame:
 
 
 def greedy_pairs(cells: DataFrame, files: DataFrame) -> DataFrame:
-    """cell_id, file_id, score within a plate: 0.9 where a token of the name is the cell's drop ('d12', 'drop12'), 0.6 where one is its well.
+    """cell_id, file_id, score within a plate: 0.9 where a token of the name is the cell's drop number, 0.6 where the flat name holds its flat well.
 
-    Candidates come from equality of (plate, token). Greedy one-to-one by score, then ids, until no pair is left: for each
+    ``well`` is the well as written; flat texts keep letters and digits alone. Candidates come from equality of (plate,
+    token) or of (plate, part of the name), parts being as long as some well is. Greedy one-to-one by score, then ids, until no pair is left: for each
     score, groups of cells and files that are all candidates of each other are paired by rank; of the others every round
     takes the pairs that are the best of both their cell and their file, so the first pair in order goes in each round.
     """
-    tokens = files.select("plate_id", "file_id", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("token"))
-    tokens = tokens.withColumn("token", F.regexp_replace("token", r"^drop0*(\d+)$", "d$1")).withColumn("token", F.regexp_replace("token", r"^([a-p])0*(\d+)$", "$1$2"))
-    marks = F.array(F.struct(F.concat(F.lit("d"), F.col("drop_no").cast("string")).alias("token"), F.lit(DROP).alias("score")), F.struct(F.lower("well").alias("token"), F.lit(WELL).alias("score")))
-    keys = cells.select("plate_id", "cell_id", F.explode(marks).alias("m")).select("plate_id", "cell_id", "m.token", "m.score").filter("token IS NOT NULL")
+    place = cells.withColumn("well", flat(F.col("well")))
+    lengths = place.filter("well <> ''").agg(F.coalesce(F.collect_set(F.length("well")), F.array().cast("array<int>"))).scalar()  # a well has a few characters
+    name = flat(F.col("name"))
+    sized = files.select("plate_id", "file_id", name.alias("__n"), F.explode(lengths).alias("__k")).filter(F.length("__n") >= F.col("__k"))
+    part = F.transform(F.sequence(F.lit(1), F.length("__n") - F.col("__k") + 1), lambda i: F.concat(F.lit("w"), F.substring("__n", i, F.col("__k"))))
+    words = F.transform(name_tokens(F.col("name")), lambda x: F.concat(F.lit("d"), x))
+    tokens = files.select("plate_id", "file_id", F.explode(F.array_distinct(words)).alias("token")).unionByName(sized.select("plate_id", "file_id", F.explode(F.array_distinct(part)).alias("token")))
+    marks = F.array(F.struct(F.concat(F.lit("d"), F.col("drop_no").cast("string")).alias("token"), F.lit(DROP).alias("score")), F.struct(F.concat(F.lit("w"), F.nullif("well", F.lit(""))).alias("token"), F.lit(WELL).alias("score")))
+    keys = place.select("plate_id", "cell_id", F.explode(marks).alias("m")).select("plate_id", "cell_id", "m.token", "m.score").filter("token IS NOT NULL")
     every = cut_lineage(keys.join(tokens, ["plate_id", "token"]).groupBy("cell_id", "file_id").agg(F.max("score").alias("score")))
     out = every.limit(0)
     for score in (DROP, WELL):

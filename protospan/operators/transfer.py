@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from protospan.functions.scalars import chi2_p
 from protospan.operators.classify import cross_validate
+from protospan.operators.sequence import positions
 from protospan.operators.ranking import average_rank, benjamini_hochberg, first_two
 
 UNASSIGNED = "Unassigned"
@@ -70,18 +72,77 @@ def nearest(similar: DataFrame, c: Distill = Distill()) -> DataFrame:
     return near.withColumn("__n", F.count("*").over(Window.partitionBy("query"))).filter(F.col("__n") >= c.least_neighbours).drop("__n")
 
 
+def nearest_of_all(x: DataFrame, proteins: int, c: Distill = Distill(), block: int = 256, chunk: int = 2048) -> DataFrame:
+    """query, run, similarity (9 decimals), rank as ``nearest`` of ``similarities``, for every run, without a row per pair.
+
+    Runs are packed into blocks of about ``block``; each two blocks meet once, and their products go over ``chunk``
+    proteins at a time, so a task holds two dense pieces of block x chunk; of each block k runs per query go on.
+    """
+    names = x.select("protein").distinct()
+    num = positions(names.withColumn("__h", F.pmod(F.xxhash64("protein"), F.lit(1 << 30))).withColumn("all", F.lit(0)), "all", "__h", "protein", bucket_width=1 << 20, name="i").select("protein", "i")
+    runs = F.greatest(F.lit(1), F.ceil(x.agg(F.approx_count_distinct("run")).scalar() / block))
+    vec = x.join(num, "protein").groupBy("run").agg(F.collect_list("i").alias("i"), F.collect_list("x").alias("x"))
+    packs = vec.withColumn("b", F.pmod(F.xxhash64("run"), runs)).groupBy("b").agg(F.collect_list(F.struct("run", "i", "x")).alias("v"))
+    meet = packs.select(F.col("v").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("b")).join(packs.select("b", F.col("v").alias("r")), "b").select("q", "r")
+    k, total, w, floor, least = c.neighbours, float(proteins), c.jaccard_weight, c.least_similarity, c.shared
+
+    def rows_of(pack):
+        i = [np.asarray(v["i"], np.int64) for v in pack]
+        at = np.concatenate([np.full(len(a), n) for n, a in enumerate(i)])
+        col, val = np.concatenate(i), np.concatenate([np.asarray(v["x"], float) for v in pack])
+        order = np.argsort(col, kind="stable")
+        return np.array([v["run"] for v in pack], object), np.array([len(a) for a in i], float), at[order], col[order], val[order]
+
+    def dense(part, lo, n):
+        a, b = np.searchsorted(part[3], [lo, lo + chunk])
+        out = np.zeros((n, chunk))
+        out[part[2][a:b], part[3][a:b] - lo] = part[4][a:b]
+        return out
+
+    def near(batches):
+        for pdf in batches:
+            for pack_q, pack_r in zip(pdf["q"], pdf["r"]):
+                q, r = rows_of(pack_q), rows_of(pack_r)
+                s = d = aa = bb = 0.0
+                for lo in range(0, int(total) + 1, chunk):
+                    a, b = dense(q, lo, len(q[0])), dense(r, lo, len(r[0]))
+                    ma, mb = (a != 0).astype(float), (b != 0).astype(float)
+                    s, d, aa, bb = s + ma @ mb.T, d + a @ b.T, aa + (a * a) @ mb.T, bb + ma @ (b * b).T
+                na, nb = q[1][:, None], r[1][None]
+                union = na + nb - s
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cos = np.where(s >= least, np.maximum(0, d / np.sqrt(aa * bb)), 0.0)
+                    m = np.minimum(0.15, (1 - na / total) / 2)
+                    jac = (1 - m) * s / union + m * np.where(total - s > 0, (total - union) / (total - s), 0.0)
+                sim = (1 - w) * cos + w * jac
+                sim[(s == 0) | (q[0][:, None] == r[0][None]) | (sim < floor)] = -1
+                sim = np.round(sim, 9)
+                for n in range(len(sim)):
+                    best = np.flatnonzero(sim[n] >= 0)
+                    if len(best) > k:
+                        best = best[sim[n][best] >= np.partition(sim[n][best], -k)[-k]]  # ties at the edge stay for the merge
+                    if len(best):
+                        yield pd.DataFrame({"query": q[0][n], "run": r[0][best], "similarity": sim[n][best]})
+
+    part = meet.mapInPandas(near, "query string, run string, similarity double")
+    return nearest(part, c)
+
+
 def votes(near: DataFrame, labels: DataFrame, priors: DataFrame, strength: float = 0.5) -> DataFrame:
-    """query, winner, confidence, support (share of the query's own label) by similarity-weighted votes with virtual prior votes."""
+    """query, winner, confidence, support (share of the query's own label) by similarity-weighted votes.
+
+    Every label with a prior gets a virtual vote for each query, whether a neighbour has it or not.
+    """
+    every = priors.agg(F.collect_list(F.struct("label", "prior"))).scalar()  # one per label
     top = priors.agg(F.max("prior")).scalar()
     v = near.join(labels.select("run", "label"), "run")
     per = v.groupBy("query", "label").agg(F.sum("similarity").alias("actual"))
-    sums = v.groupBy("query").agg(F.sum("similarity").alias("total"), F.avg("similarity").alias("mean"))
-    eff = strength * (1 - F.col("mean"))
-    j = per.join(sums, "query").join(priors, "label", "left").withColumn("eff", eff)
-    vote = F.col("actual") * (1 - F.col("eff") / 2) + F.col("eff") * F.coalesce("prior", F.lit(0.0)) / top * F.col("total")
-    j = j.withColumn("vote", vote)
+    sums = v.groupBy("query").agg(F.sum("similarity").alias("total"), (strength * (1 - F.avg("similarity"))).alias("eff"))
+    virtual = sums.select("query", "total", "eff", F.explode(every).alias("e")).select("query", F.col("e.label").alias("label"), (F.col("eff") * F.col("e.prior") / top * F.col("total")).alias("vote"))
+    actual = per.join(sums, "query").select("query", "label", (F.col("actual") * (1 - F.col("eff") / 2)).alias("vote"))
+    j = virtual.unionByName(actual).groupBy("query", "label").agg(F.round(F.sum("vote"), 9).alias("vote"))
     win = first_two(j, ["query"], "label", "vote").select("query", F.col("best").alias("winner"), (F.col("best_value") / (F.col("best_value") + F.coalesce("second_value", F.lit(0.0)))).alias("confidence"))
-    own = j.join(labels.select(F.col("run").alias("query"), F.col("label").alias("own")), "query").filter("label = own").select("query", (F.col("actual") / F.col("total")).alias("support"))
+    own = per.join(labels.select(F.col("run").alias("query"), F.col("label").alias("own")), "query").filter("label = own").join(sums, "query").select("query", (F.col("actual") / F.col("total")).alias("support"))
     return win.join(own, "query", "left").na.fill(0.0, ["support"])
 
 
@@ -146,14 +207,43 @@ def drop_redundant(order: list[str], rho: dict[tuple[str, str], float], limit: f
     return kept
 
 
-def distill(x: DataFrame, labels: DataFrame, queries: DataFrame, runs: int, c: Distill = Distill()) -> tuple[DataFrame, list[dict]]:
+def uncorrelated(x: DataFrame, ranked: DataFrame, limit: float = 0.7, least: int = 3, inclusive: bool = False) -> DataFrame:
+    """place, protein: ``ranked`` markers (protein, w) by w without those that correlate with one kept before.
+
+    Greedy choice is a chain over all markers, so their values meet in a dense kernel, whose size ``dense`` checks; each
+    marker is ranked against the kept ones only, over the runs that show both (``least`` or more).
+    """
+    from protospan.operators.matrix import dense
+
+    order = [r.protein for r in ranked.orderBy(F.desc("w"), "protein").collect()]  # selected markers
+    wide = dense(x.join(ranked.select("protein"), "protein", "left_semi")).reindex(columns=order) if order else pd.DataFrame()
+    kept: list[str] = []
+    for m in order:
+        y, alike = wide[m].to_numpy(), False
+        for a in kept:
+            z = wide[a].to_numpy()
+            both = ~np.isnan(y) & ~np.isnan(z)
+            if both.sum() < least:
+                continue
+            ry, rz = pd.Series(y[both]).rank().to_numpy(), pd.Series(z[both]).rank().to_numpy()
+            rho = abs(np.corrcoef(ry, rz)[0, 1]) if np.ptp(ry) > 0 and np.ptp(rz) > 0 else 0.0
+            alike = round(rho, 9) >= limit if inclusive else round(rho, 9) > limit
+            if alike:
+                break
+        if not alike:
+            kept.append(m)
+    return x.sparkSession.createDataFrame(list(enumerate(kept, 1)), "place int, protein string")
+
+
+def distill(x: DataFrame, labels: DataFrame, runs: int, c: Distill = Distill()) -> tuple[DataFrame, list[dict]]:
     """labels after iteration, and the history: markers, changed share, validation accuracy of each round."""
     from protospan.functions.lineage import cut_lineage
 
     history, best, proteins = [], -1.0, x.select("protein").distinct().count()
+    near = cut_lineage(nearest_of_all(x, proteins, c))  # neighbours do not depend on labels
     for i in range(c.rounds):
         p = decaying_priors(labels, c.decay)
-        v = votes(nearest(similarities(x, queries, proteins, c), c), labels, p.select("label", "prior"))
+        v = votes(near, labels, p.select("label", "prior"))
         moved = relabel(v, labels, p, c)
         new = labels.join(moved.select(F.col("query").alias("run"), "after"), "run", "left").select("run", F.coalesce("after", "label").alias("label"))
         new = cut_lineage(new)

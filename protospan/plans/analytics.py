@@ -12,6 +12,7 @@ from protospan.operators import classify as C
 from protospan.operators import matrix as M
 from protospan.operators import ranking as K
 from protospan.operators import transfer as T
+from protospan.operators.filters import completeness_floor
 from protospan.plans import relations as L
 from protospan.plans.registry import Registry
 from protospan.plans.relational import _logx, _queries
@@ -20,6 +21,7 @@ from protospan.sources import report as R
 from protospan.sources.tables import read
 
 reg = Registry()
+FLOOR = 0.05  # share of the runs that must show a protein of the matrix; left out where fewer than 20 would stay
 r6 = lambda c, n=6: F.round(c, n)
 _LX = "lx as (select run, protein, log2(intensity + 1) x from quant where intensity > 0)"
 _SCALED = "tot as (select run, sum(intensity) total from quant group by 1), sc as (select run, case when total > 0 then (select avg(total) from tot where total > 0) / total else 1 end scale from tot), sx as (select protein, q.run, log2(intensity * scale + 1) x from quant q join sc using (run) where intensity > 0)"
@@ -30,14 +32,13 @@ def m2_scale(spark: SparkSession, d: str) -> DataFrame:
     return M.total_scale(L.quant(spark, d)).withColumn("scale", r6(F.col("scale")))
 
 
-_TOP = "top as (select protein from quant where intensity > 0 group by 1 having count(distinct run) >= 0.2 * (select count(*) from scal))"
+_TOP = f"top0 as (select protein from quant where intensity > 0 group by 1 having count(distinct run) >= ceil({FLOOR} * (select count(*) from scal))), top as (select distinct protein from quant where (select count(*) from top0) < 20 or protein in (select protein from top0))"
 
 
 def _common(spark: SparkSession, d: str) -> DataFrame:
-    """Scaled log2 values of proteins seen in a fifth of the runs."""
+    """Scaled log2 values of proteins that pass the detection floor; scales come from all proteins."""
     q = L.quant(spark, d)
-    n = R.run_scalars(L.passed(spark, d)).agg(F.count("*")).scalar()
-    top = q.filter("intensity > 0").groupBy("protein").agg(F.count_distinct("run").alias("n")).filter(F.col("n") >= 0.2 * n).select("protein")
+    top = completeness_floor(q, R.run_scalars(L.passed(spark, d)).count(), FLOOR).select("protein").distinct()
     return M.log_scaled(q).join(top, "protein", "left_semi")
 
 
@@ -77,11 +78,11 @@ def m5_combat(spark: SparkSession, d: str) -> DataFrame:
 
 @reg.add()
 def m7_smooth(spark: SparkSession, d: str) -> DataFrame:
-    """Embedding coordinates averaged over the five nearest of the stated queries."""
+    """Embedding coordinates of all vectors averaged over their five nearest."""
     e = read(spark, d, "embeddings")
-    near = M.neighbours(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 5).select(F.col("query").alias("run"), "neighbour", "distance")
+    near = M.neighbours(e, e, "vec_id", "embedding", 5).select(F.col("query").alias("run"), "neighbour", "distance")
     long = e.select(F.col("vec_id").alias("run"), F.posexplode("embedding").alias("protein", "x")).withColumn("x", F.col("x").cast("double"))
-    return M.smooth(long, near)
+    return M.smooth(long, near).withColumn("x", r6(F.col("x"), 5))
 
 
 @reg.add()
@@ -109,7 +110,7 @@ def m11_project(spark: SparkSession, d: str) -> DataFrame:
 def m14_purity(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     near = M.neighbours(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 10)
-    return M.label_purity(near, e, "vec_id", "label")
+    return M.label_purity(near, e, "vec_id", "label").withColumn("purity", r6(F.col("purity")))
 
 
 @reg.add()
@@ -179,35 +180,37 @@ def c6_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @reg.add()
 def c5_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    return C.enrichment(_cells(spark, d), _profiles(spark, d)).select("run", "cell_type", "p")
+    return C.enrichment(_cells(spark, d), _profiles(spark, d)).select("run", "cell_type", r6(F.col("p")).alias("p"))
 
 
 @reg.add()
 def c7_standard(spark: SparkSession, d: str) -> DataFrame:
-    return C.standard(_cells(spark, d), _profiles(spark, d))
+    s = C.standard(_cells(spark, d), _profiles(spark, d))
+    return s.select("run", "cell_type", r6(F.col("rho"), 5).alias("rho"), r6(F.col("spec"), 5).alias("spec"), *[r6(F.col(c)).alias(c) for c in ("p", "coverage", "score")])
 
 
 @reg.add()
 def c8_key_markers(spark: SparkSession, d: str) -> DataFrame:
     cells, prof = _cells(spark, d), _profiles(spark, d)
     key = K.top_by(C.marker_sets(prof).join(prof, ["cell_type", "gene"]), ["cell_type"], [F.desc("median"), F.col("gene")], 10).select("cell_type", "gene")
-    return C.reweight(C.standard(cells, prof).select("run", "cell_type", "score"), C.key_marker_adjustment(cells, key))
+    return C.reweight(C.standard(cells, prof).select("run", "cell_type", "score"), C.key_marker_adjustment(cells, key)).withColumn("score", r6(F.col("score")))
 
 
 @reg.add()
 def c9_priors(spark: SparkSession, d: str) -> DataFrame:
     w = L.labels(spark, d).groupBy("cell_type").agg(F.count("*").cast("double").alias("weight"))
-    return C.reweight(C.standard(_cells(spark, d), _profiles(spark, d)).select("run", "cell_type", "score"), C.prior_adjustment(w))
+    return C.reweight(C.standard(_cells(spark, d), _profiles(spark, d)).select("run", "cell_type", "score"), C.prior_adjustment(w)).withColumn("score", r6(F.col("score")))
 
 
 @reg.add()
 def c10_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return C.signatures(_profiles(spark, d))
+    return C.signatures(_profiles(spark, d)).select("cell_type", "gene", r6(F.col("weight")).alias("weight"), r6(F.col("tau")).alias("tau"))
 
 
 @reg.add()
 def c12_quantitative(spark: SparkSession, d: str) -> DataFrame:
-    return C.best_call(C.quantitative(_cells(spark, d), _profiles(spark, d)))
+    c = C.best_call(C.quantitative(_cells(spark, d), _profiles(spark, d)))
+    return c.withColumns({x: r6(F.col(x), 5) for x in ("score", "margin")})
 
 
 def _panels(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +246,7 @@ def c17_marker_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 @reg.add()
 def c18_otsu(spark: SparkSession, d: str) -> DataFrame:
-    return C.otsu(read(spark, d, "isolated_cells").filter("intensity > 0 AND intensity <= 255"), "intensity")
+    return C.otsu(read(spark, d, "isolated_cells").filter("intensity > 0 AND intensity <= 255"), "intensity").select(r6(F.col("threshold")).alias("threshold"))
 
 
 def _xlab(spark: SparkSession, d: str) -> DataFrame:
@@ -253,12 +256,12 @@ def _xlab(spark: SparkSession, d: str) -> DataFrame:
 @reg.add()
 def c19_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     x = _xlab(spark, d).withColumn("k", F.lit(0))
-    return C.nearest_centroid(x, x, ["k"]).drop("k")
+    return C.nearest_centroid(x, x, ["k"]).drop("k").withColumns({c: r6(F.col(c)) for c in ("similarity", "confidence")})
 
 
 @reg.add()
 def c20_cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    return C.cross_validate(_xlab(spark, d))
+    return C.cross_validate(_xlab(spark, d)).withColumn("accuracy", r6(F.col("accuracy")))
 
 
 @reg.add()
@@ -266,7 +269,7 @@ def c21_repeated_validation(spark: SparkSession, d: str) -> DataFrame:
     cv = C.cross_validate(_xlab(spark, d), repeats=10)
     acc = cv.groupBy("repeat").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("accuracy")).alias("right"))
     low, high = A.wilson(F.col("right"), F.col("n"))
-    return acc.select("repeat", "n", (F.col("right") / F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"))
+    return acc.select("repeat", "n", r6(F.col("right") / F.col("n")).alias("accuracy"), r6(low, 5).alias("low"), r6(high, 5).alias("high"))
 
 
 @reg.add()
@@ -275,7 +278,7 @@ def c22_channel_sweep(spark: SparkSession, d: str) -> DataFrame:
     names = ["rho", "spec", "logp", "cov"]
     w = Window.partitionBy("run")
     z = s.select("run", "cell_type", *[F.when(F.stddev_samp(c).over(w) > 1e-12, (F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w)).otherwise(0.0).alias(c) for c in names])
-    return C.channel_sweep(z, L.labels(spark, d).withColumnRenamed("cell_type", "label"), names)
+    return C.channel_sweep(z, L.labels(spark, d).withColumnRenamed("cell_type", "label"), names).withColumn("accuracy", r6(F.col("accuracy")))
 
 
 # ---- label transfer
@@ -301,6 +304,12 @@ def t6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return T.nearest(_similar(spark, d).withColumn("similarity", F.round("similarity", 9))).select("query", "run", "rank")
 
 
+def _near_all(spark: SparkSession, d: str) -> DataFrame:
+    """query, run, similarity, rank for every run, block against block."""
+    x = _logx(spark, d)
+    return T.nearest_of_all(x, x.select("protein").distinct().count())
+
+
 def _types(spark: SparkSession, d: str) -> DataFrame:
     return L.labels(spark, d).withColumnRenamed("cell_type", "label").join(_runs(spark, d), "run", "left_semi")
 
@@ -309,7 +318,7 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
 def t8_relabel(spark: SparkSession, d: str) -> DataFrame:
     lab = _types(spark, d)
     p = T.decaying_priors(lab)
-    return T.relabel(T.votes(T.nearest(_similar(spark, d)), lab, p.select("label", "prior")), lab, p)
+    return T.relabel(T.votes(_near_all(spark, d), lab, p.select("label", "prior")), lab, p).withColumn("confidence", r6(F.col("confidence")))
 
 
 _TYPES = "typ as (select run, cell_type label from lab where run in (select run from scal))"
@@ -339,17 +348,30 @@ def t12_kruskal_wallis(spark: SparkSession, d: str) -> DataFrame:
     return T.kruskal_wallis(_logx(spark, d), _types(spark, d)).select("protein", "df", r6(F.col("h")).alias("h"))
 
 
+def _depth_labels(spark: SparkSession, d: str) -> DataFrame:
+    """run, label: deep runs (total from the median on) and shallow ones; these classes have markers, conditions need not."""
+    s = R.run_scalars(L.passed(spark, d))
+    return s.select("run", F.when(F.col("tic") >= s.agg(F.median("tic")).scalar(), "deep").otherwise("shallow").alias("label"))
+
+
+def _marker_inputs(spark: SparkSession, d: str):
+    x, lab = _logx(spark, d), _depth_labels(spark, d)
+    n = R.run_scalars(L.passed(spark, d)).agg(F.count("*")).scalar()
+    overall = x.groupBy("protein").agg((F.count_distinct("run") / n).alias("rate"))
+    return x, T.marker_stats(x, lab), T.kruskal_wallis(x, lab), overall
+
+
+_MARK_COLUMNS = {"delta": 6, "weighted": 5, "detection": 6, "p": 6, "q": 6, "rate": 6}
+
+
 @reg.add()
 def t14_markers(spark: SparkSession, d: str) -> DataFrame:
-    x, lab = _logx(spark, d), _types(spark, d)
-    n = R.run_scalars(L.passed(spark, d)).agg(F.count("*")).scalar()
-    overall = x.groupBy("protein").agg(F.count_distinct("run").alias("n")).withColumn("rate", F.col("n") / n)
-    return T.select_markers(T.marker_stats(x, lab), T.kruskal_wallis(x, lab), overall)
+    return T.select_markers(*_marker_inputs(spark, d)[1:]).withColumns({c: r6(F.col(c), k) for c, k in _MARK_COLUMNS.items()})
 
 
 @reg.add()
 def t16_distill(spark: SparkSession, d: str) -> DataFrame:
-    out, _ = T.distill(_common(spark, d).select("run", "protein", "x"), _types(spark, d), _queries(spark, d), R.run_scalars(L.passed(spark, d)).count())
+    out, _ = T.distill(_common(spark, d).select("run", "protein", "x"), _types(spark, d), R.run_scalars(L.passed(spark, d)).count())
     return out
 
 
@@ -366,4 +388,4 @@ def x16_term_enrichment(spark: SparkSession, d: str) -> DataFrame:
     drawn = cells.join(known, "gene", "left_semi").groupBy("run").agg(F.count("*").alias("drawn"))
     hits = cells.join(terms.join(size, "term"), "gene").groupBy("run", "term", "marked").agg(F.count("*").alias("hits")).filter("hits >= 2").join(drawn, "run")
     p = hits.withColumn("universe", universe).withColumn("p", hypergeometric_p("universe", "marked", "drawn", "hits"))
-    return K.benjamini_hochberg(p, "p", "term", ["run"]).select("run", "term", "hits", "p", "q").filter("q <= 0.05")
+    return K.benjamini_hochberg(p, "p", "term", ["run"]).filter("round(q, 9) <= 0.05").select("run", "term", "hits", r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"))

@@ -110,20 +110,18 @@ def m1_prepared(spark: SparkSession, d: str) -> DataFrame:
     x = K.median_centre(N._common(spark, d), "run", "x").select("protein", "run", F.col("centred").alias("x"))
     filled = M.fill_matrix(x, N._runs(spark, d))
     depth = R.run_scalars(L.passed(spark, d)).select("run", M.depth_of(F.col("protein_count"), F.lit(0)).cast("double").alias("depth"))
-    return K.z_scores(M.depth_regress(filled, depth), "protein", "x").select("protein", "run", "z")
+    return K.z_scores(M.depth_regress(filled, depth), "protein", "x").select("protein", "run", r6(F.col("z"), 4).alias("z"))
 
 
 @reg.add()
 def m12_pca(spark: SparkSession, d: str) -> DataFrame:
     wide = M.dense(N._common(spark, d))
     depth = R.run_scalars(L.passed(spark, d)).select("run", "protein_count").toPandas().set_index("run")["protein_count"]
-    p, rho = M.pca_of_matrix(wide, depth, 10)
+    p, rho = M.pca_of_matrix(wide, depth)
     return spark.createDataFrame([(k + 1, float(e), rho) for k, e in enumerate(p.explained)], "component int, explained double, depth_correlation double")
 
 
-@reg.add()
-def c11_channels(spark: SparkSession, d: str) -> DataFrame:
-    """run, cell_type and the four channels of the quantitative scorer."""
+def _channels(spark: SparkSession, d: str) -> DataFrame:
     cells, prof = N._cells(spark, d), N._profiles(spark, d)
     pairs, sig = C.all_pairs(cells, prof), C.signatures(prof)
     out = C.correlation(cells, prof).withColumnRenamed("rho", "spearman")
@@ -132,15 +130,21 @@ def c11_channels(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@reg.add()
+def c11_channels(spark: SparkSession, d: str) -> DataFrame:
+    """run, cell_type and the four channels of the quantitative scorer."""
+    return _channels(spark, d).withColumns({"spearman": r6(F.col("spearman"), 5), "signature": r6(F.col("signature"), 5), "auroc": r6(F.col("auroc"), 5), "likelihood": r6(F.col("likelihood"), 4)})
+
+
 @reg.add()
 def c13_channel_weights(spark: SparkSession, d: str) -> DataFrame:
     """channel, accuracy, weight: how often the best type of each channel is the label, over chance."""
-    ch, lab = c11_channels(spark, d), L.labels(spark, d).withColumnRenamed("cell_type", "label")
+    ch, lab = _channels(spark, d), L.labels(spark, d).withColumnRenamed("cell_type", "label")
     long = ch.select("run", "cell_type", F.expr("stack(4, 'spearman', spearman, 'signature', signature, 'auroc', auroc, 'likelihood', likelihood)").alias("channel", "s"))
     best = long.groupBy("channel", "run").agg(F.min_by("cell_type", F.struct(-F.round("s", 9), F.col("cell_type"))).alias("p")).join(lab, "run")
     acc = best.groupBy("channel").agg(F.avg((F.col("p") == F.col("label")).cast("double")).alias("accuracy"))
     n = N._profiles(spark, d).agg(F.count_distinct("cell_type")).scalar()
-    return acc.select("channel", "accuracy", C.channel_weight(F.col("accuracy"), n).alias("weight"))
+    return acc.select("channel", r6(F.col("accuracy")).alias("accuracy"), r6(C.channel_weight(F.col("accuracy"), n)).alias("weight"))
 
 
 @reg.add()
@@ -156,33 +160,37 @@ def c23_confidence_map(spark: SparkSession, d: str) -> DataFrame:
 
 @reg.add()
 def t5_interaction_boost(spark: SparkSession, d: str) -> DataFrame:
-    return T.interaction_boost(N._similar(spark, d), L.gene_values(spark, d).select("run", "gene"), Q._edges(spark, d))
+    return T.interaction_boost(N._similar(spark, d), L.gene_values(spark, d).select("run", "gene"), Q._edges(spark, d)).withColumn("similarity", r6(F.col("similarity")))
 
 
 @reg.add()
 def t7_votes(spark: SparkSession, d: str) -> DataFrame:
     lab = N._types(spark, d)
-    return T.votes(T.nearest(N._similar(spark, d)), lab, T.decaying_priors(lab).select("label", "prior"))
+    v = T.votes(N._near_all(spark, d), lab, T.decaying_priors(lab).select("label", "prior"))
+    return v.withColumns({c: r6(F.col(c)) for c in ("confidence", "support")})
+
+
+def _kept_markers(spark: SparkSession, d: str, least: int, inclusive: bool) -> DataFrame:
+    x, stats, tests, overall = N._marker_inputs(spark, d)
+    ranked = T.relaxed_markers(stats, tests, overall)[0].select("protein", F.round("weighted", 9).alias("w"))
+    return T.uncorrelated(x, ranked, least=least, inclusive=inclusive)
 
 
 @reg.add()
 def t15_uncorrelated(spark: SparkSession, d: str) -> DataFrame:
-    """The best fifty markers without those that correlate with a better one; correlations of these fifty are made in Spark."""
-    x, lab = Q._logx(spark, d), N._types(spark, d)
-    top = T.marker_stats(x, lab).filter("robust").orderBy(F.desc(F.round("weighted", 9)), "protein").limit(50).select("protein", F.round("weighted", 9).alias("w")).cache()
-    sub = x.join(top.select("protein"), "protein", "left_semi")
-    pairs = sub.select("run", F.col("protein").alias("a"), F.col("x").alias("xa")).join(sub.select("run", F.col("protein").alias("b"), F.col("x").alias("xb")), "run").filter("a < b")
-    rho = {(r.a, r.b): r.rho for r in K.spearman(pairs, ["a", "b"], "xa", "xb").filter("n >= 5").collect()}
-    order = [r.protein for r in top.orderBy(F.desc("w"), "protein").collect()]
-    return spark.createDataFrame([(i, p) for i, p in enumerate(T.drop_redundant(order, rho), 1)], "place int, protein string")
+    """place, protein: all markers by weight without those whose |rank correlation| with a better one is above 0.7."""
+    return _kept_markers(spark, d, 3, False)
+
+
+@reg.add()
+def t15_redundancy_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The same from 0.7 on, over five runs or more."""
+    return _kept_markers(spark, d, 5, True)
 
 
 @reg.add()
 def t17_relaxed(spark: SparkSession, d: str) -> DataFrame:
-    x, lab = Q._logx(spark, d), N._types(spark, d)
-    n = R.run_scalars(L.passed(spark, d)).agg(F.count("*")).scalar()
-    overall = x.groupBy("protein").agg(F.count_distinct("run").alias("n")).withColumn("rate", F.col("n") / n)
-    return T.relaxed_markers(T.marker_stats(x, lab), T.kruskal_wallis(x, lab), overall)[0]
+    return T.relaxed_markers(*N._marker_inputs(spark, d)[1:])[0].withColumns({c: r6(F.col(c), k) for c, k in N._MARK_COLUMNS.items()})
 
 
 @reg.add()
@@ -225,7 +233,7 @@ def x11_logs(spark: SparkSession, d: str) -> DataFrame:
 @reg.add()
 def x12_tails(spark: SparkSession, d: str) -> DataFrame:
     """Chi-squared tails of the rank tests of all proteins."""
-    return T.kruskal_wallis(Q._logx(spark, d), N._types(spark, d)).select("protein", "h", "df", "p", "q")
+    return T.kruskal_wallis(Q._logx(spark, d), N._types(spark, d)).select("protein", r6(F.col("h")).alias("h"), "df", r6(F.col("p")).alias("p"), r6(F.col("q")).alias("q"))
 
 
 @reg.add(f"with {REP}, a as (select distinct lower(gene) g from gval), n as (select lower(genes) g, min(protein) protein from gmap group by 1) select a.g as gene, n.protein from a left join n using (g)")
@@ -244,12 +252,12 @@ def sk1_summary(spark: SparkSession, d: str) -> DataFrame:
 @reg.add()
 def sk8_presence(spark: SparkSession, d: str) -> DataFrame:
     """gene with one column per cell type: share of its runs that show the gene."""
-    p = A.reference_profiles(L.gene_values(spark, d), L.labels(spark, d))
+    p = N._profiles(spark, d).withColumn("pct", F.col("pct") * 100)
     types = [r.cell_type for r in p.select("cell_type").distinct().orderBy("cell_type").collect()]  # a handful by nature
-    return p.groupBy("gene").pivot("cell_type", types).agg(F.first(F.col("pct") / 100))
+    return p.groupBy("gene").pivot("cell_type", types).agg(F.first(r6(F.col("pct") / 100)))
 
 
 @reg.add()
 def sk11_sparse_lines(spark: SparkSession, d: str) -> DataFrame:
-    long = L.quant(spark, d).select("run", "protein", F.col("intensity").alias("value"))
+    long = L.quant(spark, d).select("run", "protein", F.round("intensity", 2).cast("decimal(24,2)").alias("value"))
     return sinks.sparse_lines(long, L.labels(spark, d).withColumnRenamed("cell_type", "label"))

@@ -233,7 +233,7 @@ def j9_sparse_products(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _open_cells(spark: SparkSession, d: str) -> DataFrame:
-    return first_delivery(read(spark, d, "isolated_cells"), "cell_id", "loaded_at", ["cell_id", "plate_id", "drop_no", "target_well"]).withColumn("well", X.well(F.col("target_well")))
+    return first_delivery(read(spark, d, "isolated_cells"), "cell_id", "loaded_at", ["cell_id", "plate_id", "drop_no", "target_well"]).withColumnRenamed("target_well", "well")
 
 
 def _named_files(spark: SparkSession, d: str) -> DataFrame:
