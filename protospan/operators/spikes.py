@@ -2,14 +2,15 @@
 
 A series is a source's readings of one measure in order. Impossible values (no finite number, out of the
 measure's range) go by a row expression. The rest is decomposed robustly: a running-median trend, a
-seasonal part (median residual per phase, where each phase has enough readings), and a residual scaled by
-its median absolute deviation. Spikes are residuals beyond the generalised extreme studentised deviate
-limit that also lie apart from all usual residuals by a gap, so neither drift nor a second population
-counts. A stuck stretch is a long run of successive readings whose spread is a small part of the scale and
+seasonal part (median residual per phase, where a period lowers the residual scale far enough), and a
+residual. Spikes are residuals beyond the generalised extreme studentised deviate limit, with centre and
+scale taken anew after each removal; the scale spans all but the tails, so that neither drift nor a second
+population counts. A stuck stretch is a long run of successive readings whose spread is a small part of the scale and
 longer than ties of this series explain.
 
 Scale: sources are cut into blocks of ``block`` readings with a halo of ``halo`` readings on both sides, so
-a task never holds more than ``block + 2 * halo`` readings of a source, however hot it is.
+a task never holds more than ``block + 2 * halo`` readings of a source, however hot it is. What is normal for
+a source of more readings than that is what is normal in a stretch of ``block`` of them.
 
 Defined results: a null reading is no case and does not end a stretch; NaN and infinite readings are cases;
 a null source forms no series (its impossible values still count); rows without an order key are left out
@@ -42,32 +43,45 @@ class Plausible:
 class SpikeConfig:
     measures: dict[str, Plausible] = field(default_factory=dict)
     window: int = 25  # readings of the running median
-    period: int = 24  # of the seasonal part, in positions
-    season_support: int = 20  # readings that each phase needs
-    alpha: float = 0.001  # of the extreme studentised deviate test
-    apart: float = 3.0  # gap in scales between a spike and the usual readings
-    far: float = 6.5  # least residual of a spike in scales
+    periods: tuple[int, ...] = (4, 6, 8, 12, 16, 24)  # that the seasonal part may have, in places
+    season_support: int = 8  # readings that each phase needs
+    season_gain: float = 0.5  # the season must lower the residual scale to this part
+    alpha: float = 1e-6  # of the extreme studentised deviate test
+    tail: float = 0.015  # share of readings on each side that need not be usual
     most: float = 0.3  # share of a block that may be spikes
     least: int = 8
     still: float = 0.06  # spread of a stuck stretch in scales
     stretch: int = 6  # least readings of a stuck stretch
     chance: float = 0.05  # expected number of such stretches by ties alone
-    block: int = 4096
-    halo: int = 256
+    block: int = 65_536
+    halo: int = 1024
 
 
 CELL_MEASURES = {"diameter": Plausible(0, 1e6, low_open=True), "intensity": Plausible(0, 255), "circularity": Plausible(0, 1)}
 
 
-def decompose(y: np.ndarray, window: int, period: int, support: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trend, season and residual of a series, all by medians."""
-    trend = pd.Series(y).rolling(window, center=True, min_periods=1).median().to_numpy()
+def decompose(y: np.ndarray, c: SpikeConfig, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trend, season and residual of a series, all by medians. ``at``: places in the source, which give the phases.
+
+    Of the periods whose phases all have ``season_support`` readings, the one that leaves the least residual scale is
+    taken, if that is under ``season_gain`` of the scale without a season; noise alone does not lower it so far.
+    """
+    at = np.arange(len(y)) if at is None else at
+    trend = pd.Series(y).rolling(c.window, center=True, min_periods=1).median().to_numpy()
     rest = y - trend
-    season = np.zeros(len(y))
-    if len(y) >= period * support:
-        phase = np.arange(len(y)) % period
-        med = np.array([np.median(rest[phase == p]) for p in range(period)])
-        season = (med - np.median(med))[phase]
+    season, least = np.zeros(len(y)), c.season_gain * scale_of(rest)
+    for period in c.periods:
+        if len(y) < period * c.season_support:
+            continue
+        phase = at % period
+        size = np.bincount(phase, minlength=period)
+        if size.min() < c.season_support:
+            continue
+        by_phase, first = rest[np.lexsort((rest, phase))], np.cumsum(size) - size
+        med = (by_phase[first + (size - 1) // 2] + by_phase[first + size // 2]) / 2
+        part = (med - np.median(med))[phase]
+        if scale_of(rest - part) < least:
+            season, least = part, scale_of(rest - part)
     return trend, season, rest - season
 
 
@@ -79,37 +93,42 @@ def scale_of(rest: np.ndarray) -> float:
 
 def esd_limit(n: int, i: int, alpha: float) -> float:
     """Critical value of the i-th extreme deviate of n (Rosner); Student's t by the Cornish-Fisher expansion."""
-    p, df = 1 - alpha / (2 * (n - i + 1)), max(1, n - i - 1)
-    z = NormalDist().inv_cdf(p)
+    df = max(1, n - i - 1)
+    z = -NormalDist().inv_cdf(alpha / (2 * (n - i + 1)))
     t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
     return float((n - i) * t / np.sqrt((df + t * t) * (n - i + 1)))
 
 
-def extreme(z: np.ndarray, alpha: float, most: float) -> np.ndarray:
-    """Generalised ESD on robust deviates: True for the i largest, i the last whose deviate exceeds its limit."""
-    n = len(z)
-    order = np.argsort(-np.abs(z), kind="stable")
-    last = 0
-    for i in range(1, max(1, int(n * most)) + 1):
-        if abs(z[order[i - 1]]) > esd_limit(n, i, alpha):
-            last = i
-        elif abs(z[order[i - 1]]) < 3:
-            break
-    out = np.zeros(n, bool)
-    out[order[:last]] = True
-    return out
+def _quantile(x: np.ndarray, p: float) -> float:
+    """Quantile of sorted values, between neighbours in proportion."""
+    at = p * (len(x) - 1)
+    k = int(at)
+    return float(x[k] + (at - k) * (x[min(k + 1, len(x) - 1)] - x[k]))
+
 
+def usual(x: np.ndarray, tail: float) -> tuple[float, float]:
+    """Median and scale of what is usual among sorted values: the larger of the MAD and the span between the ``tail`` quantiles, so that a second population is usual too."""
+    m = _quantile(x, 0.5)
+    return m, max(1.4826 * float(np.median(np.abs(x - m))), (_quantile(x, 1 - tail) - _quantile(x, tail)) / (2 * NormalDist().inv_cdf(1 - tail)))
 
-def set_apart(z: np.ndarray, gap: float) -> np.ndarray:
-    """True beyond the first gap of that width in the sorted deviates, on either side."""
-    out = np.zeros(len(z), bool)
-    for side in (1, -1):
-        order = np.argsort(side * z, kind="stable")
-        s = side * z[order]
-        start = np.searchsorted(s, 0.0)
-        wide = np.flatnonzero(np.diff(s[start:]) >= gap) if len(s) - start > 1 else np.array([], int)
-        if len(wide):
-            out[order[start + wide[0] + 1 :]] = True
+
+def generalised_esd(rest: np.ndarray, alpha: float, most: float, tail: float) -> np.ndarray:
+    """Generalised ESD: the largest deviate goes, centre and scale are taken anew, and so on; True for the first i gone, i the last whose deviate exceeds its limit."""
+    n, order = len(rest), np.argsort(rest, kind="stable")
+    x, lo, hi, last = rest[order], 0, n, (0, n)
+    for i in range(1, max(1, int(n * most)) + 1):
+        m, s = usual(x[lo:hi], tail)
+        if s <= 0:
+            break
+        # of sorted values the largest deviate is at an end
+        below, above = m - x[lo], x[hi - 1] - m
+        lo, hi = (lo + 1, hi) if below > above else (lo, hi - 1)
+        if max(below, above) / s > esd_limit(n, i, alpha):
+            last = (lo, hi)
+        elif max(below, above) / s < 1.5:  # well inside: spikes on both sides that widen the scale stand further out
+            break
+    out = np.ones(n, bool)
+    out[order[last[0] : last[1]]] = False
     return out
 
 
@@ -136,25 +155,23 @@ def still(y: np.ndarray, scale: float, c: SpikeConfig) -> np.ndarray:
     return out
 
 
-def flag_series(y: np.ndarray, c: SpikeConfig) -> np.ndarray:
-    """0 normal, 1 spike, 2 stuck, for plausible readings of one source in order."""
+def flag_series(y: np.ndarray, c: SpikeConfig, at: np.ndarray | None = None) -> np.ndarray:
+    """0 normal, 1 spike, 2 stuck, for plausible readings of one source in order. ``at``: their places in the source."""
     out = np.zeros(len(y), np.int8)
     if len(y) < c.least:
         return out
-    _, _, rest = decompose(y, c.window, c.period, c.season_support)
+    at = np.arange(len(y)) if at is None else at
+    _, _, rest = decompose(y, c, at)
     stuck = still(y, scale_of(rest), c)
     free = np.flatnonzero(~stuck)
     if len(free) >= c.least:
-        _, _, rest = decompose(y[free], c.window, c.period, c.season_support)
-        s = scale_of(rest)
+        _, _, rest = decompose(y[free], c, at[free])
         if stuck.any():
-            stuck = still(y, s, c)
+            stuck = still(y, scale_of(rest), c)
             free = np.flatnonzero(~stuck)
-            _, _, rest = decompose(y[free], c.window, c.period, c.season_support)
-            s = scale_of(rest)
-        if s > 0 and len(free) >= c.least:
-            z = (rest - np.median(rest)) / s
-            out[free[extreme(z, c.alpha, c.most) & set_apart(z, c.apart) & (np.abs(z) >= c.far)]] = 1
+            _, _, rest = decompose(y[free], c, at[free])
+        if len(free) >= c.least:
+            out[free[generalised_esd(rest, c.alpha, c.most, c.tail)]] = 1
     out[stuck] = 2
     return out
 
@@ -179,11 +196,11 @@ def implausible(df: DataFrame, key: str, source: str, order: str, loaded: str, c
 
     def check(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("__pos")
-        ids, mine, out = g["__id"].to_numpy(), g["__own"].to_numpy(bool), []
+        ids, mine, place, out = g["__id"].to_numpy(), g["__own"].to_numpy(bool), g["__pos"].to_numpy(np.int64), []
         for i, m in enumerate(names):
             y = g[f"__m{i}"].to_numpy(float)
             at = np.flatnonzero(~np.isnan(y))
-            flags = flag_series(y[at], c)
+            flags = flag_series(y[at], c, place[at])
             hit = at[(flags > 0) & mine[at]]
             what = flags[(flags > 0) & mine[at]]
             out += [(ids[k], m, "spike" if f == 1 else "stuck") for k, f in zip(hit, what)]

@@ -39,6 +39,37 @@ def test_coarse_readings_are_not_stuck():
     assert not S.flag_series(np.round(series(300, sd=0.8)), CFG).any()
 
 
+def test_esd_decides_and_takes_the_scale_anew(monkeypatch):
+    y = series(100, seed=4)
+    rest = y - np.median(y)
+    rest[[3, 50]] += 40
+    rest[70] += 9  # masked by the others until they are gone
+    got = S.generalised_esd(rest, CFG.alpha, CFG.most, CFG.tail)
+    assert list(np.flatnonzero(got)) == [3, 50, 70]
+    m, s = S.usual(np.sort(rest), CFG.tail)
+    assert abs(rest[70] - m) / s < S.esd_limit(100, 1, CFG.alpha)  # one scale for all would lose it
+    monkeypatch.setattr(S, "esd_limit", lambda n, i, alpha: np.inf)
+    assert not S.flag_series(y + rest, CFG).any()  # nothing but the test's limit makes a spike
+
+
+def test_season_shows_a_spike_that_the_range_hides():
+    rng = np.random.default_rng(8)
+    at = np.arange(160)
+    y = 50 + 12 * ((at % 8) < 3) + np.clip(rng.normal(0, 0.5, 160), -1.2, 1.2)
+    y[83] += 12  # a low phase that reads like a high one
+    assert list(np.flatnonzero(S.flag_series(y, CFG, at))) == [83]
+    assert not S.flag_series(y, S.SpikeConfig(S.CELL_MEASURES, periods=()), at).any()
+    keep = np.delete(at, [10, 11, 40])  # gaps do not shift the phase
+    assert list(keep[S.flag_series(y[keep], CFG, keep) == 1]) == [83]
+
+
+def test_spikes_on_both_sides():
+    y = series(60, seed=6)
+    y[[5, 20, 41]] += 30
+    y[[11, 33]] -= 15
+    assert list(np.flatnonzero(S.flag_series(y, CFG) == 1)) == [5, 11, 20, 33, 41]
+
+
 def test_esd_limits_fall_and_are_near_known_values():
     assert S.esd_limit(54, 1, 0.05) == pytest.approx(3.159, abs=0.01)  # Rosner's example of 54 values
     assert S.esd_limit(54, 1, 0.05) > S.esd_limit(54, 10, 0.05)
