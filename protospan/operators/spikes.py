@@ -57,6 +57,7 @@ class SpikeConfig:
     halo: int = 1024
 
 
+NORMAL = NormalDist()
 CELL_MEASURES = {"diameter": Plausible(0, 1e6, low_open=True), "intensity": Plausible(0, 255), "circularity": Plausible(0, 1)}
 
 
@@ -94,7 +95,7 @@ def scale_of(rest: np.ndarray) -> float:
 def esd_limit(n: int, i: int, alpha: float) -> float:
     """Critical value of the i-th extreme deviate of n (Rosner); Student's t by the Cornish-Fisher expansion."""
     df = max(1, n - i - 1)
-    z = -NormalDist().inv_cdf(alpha / (2 * (n - i + 1)))
+    z = -NORMAL.inv_cdf(alpha / (2 * (n - i + 1)))
     t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
     return float((n - i) * t / np.sqrt((df + t * t) * (n - i + 1)))
 
@@ -106,18 +107,20 @@ def _quantile(x: np.ndarray, p: float) -> float:
     return float(x[k] + (at - k) * (x[min(k + 1, len(x) - 1)] - x[k]))
 
 
-def usual(x: np.ndarray, tail: float) -> tuple[float, float]:
+def usual(x: np.ndarray, tail: float, width: float | None = None) -> tuple[float, float]:
     """Median and scale of what is usual among sorted values: the larger of the MAD and the span between the ``tail`` quantiles, so that a second population is usual too."""
-    m = _quantile(x, 0.5)
-    return m, max(1.4826 * float(np.median(np.abs(x - m))), (_quantile(x, 1 - tail) - _quantile(x, tail)) / (2 * NormalDist().inv_cdf(1 - tail)))
+    n = len(x)
+    m = float(x[(n - 1) // 2] + x[n // 2]) / 2
+    away = np.partition(np.abs(x - m), [(n - 1) // 2, n // 2])
+    return m, max(1.4826 * float(away[(n - 1) // 2] + away[n // 2]) / 2, (_quantile(x, 1 - tail) - _quantile(x, tail)) / (width or -2 * NORMAL.inv_cdf(tail)))
 
 
 def generalised_esd(rest: np.ndarray, alpha: float, most: float, tail: float) -> np.ndarray:
     """Generalised ESD: the largest deviate goes, centre and scale are taken anew, and so on; True for the first i gone, i the last whose deviate exceeds its limit."""
     n, order = len(rest), np.argsort(rest, kind="stable")
-    x, lo, hi, last = rest[order], 0, n, (0, n)
+    x, lo, hi, last, width = rest[order], 0, n, (0, n), -2 * NORMAL.inv_cdf(tail)
     for i in range(1, max(1, int(n * most)) + 1):
-        m, s = usual(x[lo:hi], tail)
+        m, s = usual(x[lo:hi], tail, width)
         if s <= 0:
             break
         # of sorted values the largest deviate is at an end
@@ -164,14 +167,13 @@ def flag_series(y: np.ndarray, c: SpikeConfig, at: np.ndarray | None = None) ->
     _, _, rest = decompose(y, c, at)
     stuck = still(y, scale_of(rest), c)
     free = np.flatnonzero(~stuck)
-    if len(free) >= c.least:
+    if stuck.any() and len(free) >= c.least:  # what is normal is told by the readings that move
+        _, _, rest = decompose(y[free], c, at[free])
+        stuck = still(y, scale_of(rest), c)
+        free = np.flatnonzero(~stuck)
         _, _, rest = decompose(y[free], c, at[free])
-        if stuck.any():
-            stuck = still(y, scale_of(rest), c)
-            free = np.flatnonzero(~stuck)
-            _, _, rest = decompose(y[free], c, at[free])
-        if len(free) >= c.least:
-            out[free[generalised_esd(rest, c.alpha, c.most, c.tail)]] = 1
+    if len(free) >= c.least:
+        out[free[generalised_esd(rest, c.alpha, c.most, c.tail)]] = 1
     out[stuck] = 2
     return out
 
