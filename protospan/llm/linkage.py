@@ -4,18 +4,21 @@ File names carry noisy parts (plate, run tag, drop, well, row and column, date,
 orders. Cells carry the same facts in columns. Candidate pairs share a plate with a drop or a well, or a run tag
 with a drop or a sequence place. Every pair is a truth value between 0 and 1 under weighted rules:
 
-* similarity: each attribute pulls the pair's value up to, or down to, its similarity;
+* similarity: each attribute pulls the pair's value up to, or down to, its similarity (squared hinges, so that more
+  evidence gives more confidence);
 * prior: a pair is false unless rules say otherwise;
 * exclusivity: the pairs of a cell, and those of a file, sum to one at most;
 * transitivity: where a cell and a file are linked, the run's next cell and the next file of the sequence are.
 
 The sum of hinge losses is convex and minimised by alternating directions (consensus ADMM): every rule keeps its own
-copy of the values it mentions, moves it in closed form, and the copies are averaged. Values are confidences.
+copy of the values it mentions, moves it in closed form, and the copies are averaged, until primal and dual residuals
+are small. Values are confidences; links are taken by value, each cell and file once, until none is left.
 
-Scale: candidates come from equality joins on keys that name a plate or run together with a drop, well or place.
-Pairs whose cell and file have no other candidate and no sequence rule are solved exactly at once (the problem falls
-into independent parts); the rest iterates with window sums by cell, by file and along sequences, lineage cut in the
-shared folder. Nothing is gathered on the driver.
+Scale: candidates come from equality joins on keys that name a plate or run together with a drop, well or place. The
+problem falls into independent parts: pairs whose cell and file have no other candidate and no sequence rule have a
+closed form; components (of runs that share candidate files) are solved each in one task while they have at most
+``component`` pairs, and larger ones round by round with windows by cell, file and sequence, lineage cut in the shared
+folder. Nothing is gathered on the driver.
 
 Defined results: cells without a link or with an ordinal one are sought, files linked by name or by hand are taken;
 blanks, pools and control mixes belong to no cell; repeated rows count once, by first delivery; a cell without any
@@ -26,6 +29,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +47,12 @@ class LinkConfig:
     exclusive: float = 20.0
     transitive: float = 0.5
     rho: float = 1.0
-    rounds: int = 24
+    rounds: int = 3000  # at most
+    tolerance: float = 1e-3  # of the primal and dual residuals
     rounds_per_cut: int = 6
+    component: int = 50_000  # pairs that one task may solve
     days: int = 14
     accept: float = 0.5
-    chain: int = 4096
 
 
 SUFFIX = r"(?i)(?:[_ \-](?:new|rerun|redo|repeat|copy)| ?\(\d{1,3}\))+$"
@@ -87,7 +93,7 @@ def parse_names(files: DataFrame, key: str, name: str) -> DataFrame:
 
 def _near(token: Column) -> Column:
     """The token and all tokens with one character left out: equal for one change, swap or slip at least once."""
-    return F.array_distinct(F.concat(F.array(token), F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.lit(64))))))
+    return F.array_distinct(F.concat(F.array(token), F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.length(token))))))
 
 
 def file_plates(files: DataFrame, plates: DataFrame) -> DataFrame:
@@ -95,7 +101,7 @@ def file_plates(files: DataFrame, plates: DataFrame) -> DataFrame:
     stored = files.filter(F.col("plate_id").isNotNull()).select("*", F.col("plate_id").alias("plate"), F.lit(1.0).alias("s_plate"))
     lost = files.filter(F.col("plate_id").isNull() & F.col("plate_token").isNotNull())
     near = lost.select("*", F.explode(_near(F.col("plate_token"))).alias("__n"))
-    names = plates.select(F.col("plate_id").alias("plate"), F.upper(F.col("plate_name")).alias("__name")).filter(F.col("__name").isNotNull())
+    names = plates.select(F.col("plate_id").alias("plate"), F.upper(F.col("plate_name")).alias("__name")).filter(F.length("__name") <= 12)  # tokens have nine characters, and no other name is one slip away
     names = names.select("plate", "__name", F.explode(_near(F.col("__name"))).alias("__n"))
     hit = near.join(names, "__n").groupBy(*files.columns, "plate").agg(F.max(F.when(F.col("plate_token") == F.col("__name"), 1.0).otherwise(0.9)).alias("s_plate"))
     gone = files.filter(F.col("plate_id").isNull()).select("*", F.lit(None).cast("long").alias("plate"), F.lit(None).cast("double").alias("s_plate"))
@@ -160,73 +166,190 @@ def candidates(cells: DataFrame, files: DataFrame, plates: DataFrame, runs: Data
     return scored.groupBy("cell_id", "file_id").agg(*[F.max(x).alias(x) for x in ("run", "place", "seq", *[f"s_{k}" for k in sims])])
 
 
-def _potentials(c: LinkConfig) -> Column:
-    """One hinge per rule and direction: up (w, s, +1) is w max(0, s - y); down (w, s, -1) is w max(0, y - s)."""
-    parts = [F.struct(F.lit(float(c.prior)).alias("w"), F.lit(0.0).alias("s"), F.lit(-1).alias("d"))]
-    for k, (up, down) in c.rules.items():
-        s = F.col(f"s_{k}")
-        for w, d in ((up, 1), (down, -1)):
-            parts.append(F.when(s.isNotNull(), F.struct(F.lit(float(w)).alias("w"), s.alias("s"), F.lit(d).alias("d"))))
-    return F.array_compact(F.array(*parts))
+def _rules(c: LinkConfig) -> list[tuple[str, float, float]]:
+    """(similarity, weight up, weight down); the prior pulls down to 0."""
+    return [("s_prior", 0.0, c.prior), *((f"s_{k}", up, down) for k, (up, down) in c.rules.items())]
 
 
-def _loss(y: Column) -> Column:
-    return F.aggregate("pots", F.lit(0.0), lambda acc, p: acc + p["w"] * F.greatest(F.lit(0.0), (p["s"] - y) * p["d"]))
+def _lone(c: LinkConfig) -> Column:
+    """The value that minimises the squared hinges of a pair without rivals: between two similarities next to each other it is a weighted mean."""
+    pots = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("s"), F.lit(float(up)).alias("up"), F.lit(float(down)).alias("down"))) for k, up, down in _rules(c)]))
+    corners = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.transform(pots, lambda q: q["s"]))))
+    pull = lambda q, at: F.when(q["s"] > at, q["up"]).otherwise(q["down"])
+
+    def mean(at: Column) -> Column:
+        total = F.aggregate(pots, F.lit(0.0), lambda a, q: a + pull(q, at))
+        return F.when(total > 0, F.aggregate(pots, F.lit(0.0), lambda a, q: a + pull(q, at) * q["s"]) / total).otherwise(at)
+
+    def loss(y: Column) -> Column:
+        return F.aggregate(pots, F.lit(0.0), lambda a, q: a + q["up"] * F.pow(F.greatest(F.lit(0.0), q["s"] - y), 2) + q["down"] * F.pow(F.greatest(F.lit(0.0), y - q["s"]), 2))
+
+    tried = F.concat(corners, F.transform(corners, mean))
+    return F.array_min(F.transform(tried, lambda y: F.struct(loss(y).alias("l"), y.alias("y"))))["y"]
+
+
+def _along(place: np.ndarray, seq: np.ndarray, run: np.ndarray, cell: np.ndarray, file: np.ndarray) -> np.ndarray:
+    """Pairs (i, j): j is the run's next place with the next number of the sequence."""
+    ok = np.flatnonzero(~np.isnan(place) & ~np.isnan(seq) & ~np.isnan(run))
+    order = ok[np.lexsort((file[ok], cell[ok], place[ok], (seq - place)[ok], run[ok]))]
+    a, b = order[:-1], order[1:]
+    near = (run[a] == run[b]) & ((seq - place)[a] == (seq - place)[b]) & (place[b] == place[a] + 1)
+    return np.stack([a[near], b[near]])
+
+
+def admm(cell: np.ndarray, file: np.ndarray, sims: np.ndarray, up: np.ndarray, down: np.ndarray, links: np.ndarray, c: LinkConfig) -> tuple[np.ndarray, int, float]:
+    """Values of the pairs of one component, rounds taken and the larger of the last primal and dual residual.
+
+    Every potential keeps a copy of the values it mentions, moves it in closed form, and the copies are averaged.
+    ``sims``: pairs x rules, NaN where a side lacks the fact; ``links``: pairs of pairs that the sequence ties.
+    """
+    n, seen = len(cell), ~np.isnan(sims)
+    s = np.where(seen, sims, 0.0)
+    _, ci = np.unique(cell, return_inverse=True)
+    _, fi = np.unique(file, return_inverse=True)
+    nc, nf = np.bincount(ci)[ci], np.bincount(fi)[fi]
+    a, b = links
+    copies = seen.sum(1) + 2.0 + np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    z, u = np.full(n, 0.5), np.zeros_like(s)
+    uc, uf, ua, ub = np.zeros(n), np.zeros(n), np.zeros(len(a)), np.zeros(len(b))
+    rho, ex, tr = c.rho, c.exclusive / c.rho, c.transitive / c.rho
+    gap = np.inf
+    for done in range(1, c.rounds + 1):
+        v = z[:, None] - u
+        w = 2 * np.where(v < s, up, down) / rho
+        x = np.where(seen, (v + w * s) / (1 + w), 0.0)
+        vc, vf = z - uc, z - uf
+        xc = vc - np.minimum(ex, np.maximum(0.0, (np.bincount(ci, vc)[ci] - 1) / nc))
+        xf = vf - np.minimum(ex, np.maximum(0.0, (np.bincount(fi, vf)[fi] - 1) / nf))
+        d = (z[a] - ua) - (z[b] - ub)
+        move = np.sign(d) * np.minimum(tr, np.abs(d) / 2)
+        xa, xb = z[a] - ua - move, z[b] - ub + move
+        total = np.where(seen, x + u, 0.0).sum(1) + xc + uc + xf + uf + np.bincount(a, xa + ua, n) + np.bincount(b, xb + ub, n)
+        new = np.clip(total / copies, 0.0, 1.0)
+        u += np.where(seen, x - new[:, None], 0.0)
+        uc, uf, ua, ub = uc + xc - new, uf + xf - new, ua + xa - new[a], ub + xb - new[b]
+        primal = max(np.abs(np.where(seen, x - new[:, None], 0.0)).max(initial=0.0), np.abs(xc - new).max(initial=0.0), np.abs(xf - new).max(initial=0.0), np.abs(xa - new[a]).max(initial=0.0), np.abs(xb - new[b]).max(initial=0.0))
+        gap, z = max(primal, rho * np.abs(new - z).max(initial=0.0)), new
+        if gap < c.tolerance:
+            break
+    return z, done, float(gap)
+
+
+def assign(cell: np.ndarray, file: np.ndarray, y: np.ndarray, accept: float) -> np.ndarray:
+    """Which pairs become links: by value, then file and cell, each cell and file once, until none is left."""
+    keep, cells, files = np.zeros(len(y), bool), set(), set()
+    value = np.round(y, 6)
+    for i in np.lexsort((cell, file, -value)):
+        if value[i] >= accept and cell[i] not in cells and file[i] not in files:
+            keep[i] = True
+            cells.add(cell[i])
+            files.add(file[i])
+    return keep
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """node, comp: runs (or cells without one) that share candidate files, by the smallest node; the graph has a row per run and file."""
+    edges = cut_lineage(pairs.select("node", "file_id").distinct())
+    labels = cut_lineage(edges.select("node").distinct().withColumn("comp", F.col("node")))
+    while True:
+        by_file = edges.join(labels, "node").groupBy("file_id").agg(F.min("comp").alias("__m"))
+        new = edges.join(by_file, "file_id").groupBy("node").agg(F.min("__m").alias("__c"))
+        jump = labels.select(F.col("node").alias("__c"), F.col("comp").alias("__j"))  # the label's own label, so that chains shrink by half
+        new = cut_lineage(labels.join(new, "node").join(jump, "__c").select("node", F.least("__c", "__j").alias("__n"), F.col("comp").alias("__old")))
+        labels = new.select("node", F.col("__n").alias("comp"))
+        if new.filter("__n <> __old").isEmpty():
+            return labels
+
+
+SOLVED = "cell_id long, file_id long, y double, linked boolean, rounds int, gap double"
 
 
 def solve(pairs: DataFrame, c: LinkConfig) -> DataFrame:
-    """``pairs`` with y, the value that minimises the sum of all rules."""
-    p = pairs.withColumn("pots", _potentials(c))
+    """cell_id, file_id, y, linked, rounds, gap: the value that minimises the sum of all rules, and the links by value.
+
+    The problem falls into independent parts. Pairs without rivals and sequence are solved in closed form; components of
+    up to ``component`` pairs one by one in tasks; larger ones round by round over DataFrames.
+    """
     by_cell, by_file = Window.partitionBy("cell_id"), Window.partitionBy("file_id")
-    p = p.withColumn("__nc", F.count("*").over(by_cell)).withColumn("__nf", F.count("*").over(by_file))
-    p = cut_lineage(p.select("cell_id", "file_id", "run", "place", "seq", "pots", "__nc", "__nf"))
+    p = pairs.withColumn("s_prior", F.lit(0.0)).withColumn("__nc", F.count("*").over(by_cell)).withColumn("__nf", F.count("*").over(by_file))
+    p = cut_lineage(p.withColumn("node", F.coalesce(F.col("run").cast("string"), F.concat(F.lit("c"), F.col("cell_id").cast("string")))))
     lone = (F.col("__nc") == 1) & (F.col("__nf") == 1) & F.col("seq").isNull()
-    # a sum of hinges of one value has its minimum at a corner: try them all, the smaller value on ties
-    corners = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.transform("pots", lambda q: q["s"]))))
-    best = F.array_min(F.transform(corners, lambda y: F.struct(_loss(y).alias("l"), y.alias("y"))))
-    alone = p.filter(lone).select("cell_id", "file_id", best["y"].alias("y"))
-
-    rho, ex, tr = c.rho, c.exclusive / c.rho, c.transitive / c.rho
-    z = p.filter(~lone).withColumn("z", F.lit(0.5)).withColumn("u", F.transform("pots", lambda q: F.lit(0.0)))
+    alone = p.filter(lone).select("cell_id", "file_id", _lone(c).alias("y")).select("cell_id", "file_id", "y", (F.round("y", 6) >= c.accept).alias("linked"), F.lit(0).alias("rounds"), F.lit(0.0).alias("gap"))
+    rest = p.filter(~lone)
+    member = cut_lineage(rest.join(components(rest), "node").withColumn("__size", F.count("*").over(Window.partitionBy("comp"))))
+    rules = _rules(c)
+    up, down = np.array([r[1] for r in rules]), np.array([r[2] for r in rules])
+
+    def part(g: pd.DataFrame) -> pd.DataFrame:
+        cell, file = g["cell_id"].to_numpy(np.int64), g["file_id"].to_numpy(np.int64)
+        place, seq, run = (g[k].to_numpy(float) for k in ("place", "seq", "run"))
+        sims = np.stack([g[k].to_numpy(float) for k, _, _ in rules], 1)
+        y, rounds, gap = admm(cell, file, sims, up, down, _along(place, seq, run, cell, file), c)
+        return pd.DataFrame({"cell_id": cell, "file_id": file, "y": y, "linked": assign(cell, file, y, c.accept), "rounds": rounds, "gap": gap})
+
+    out = alone.unionByName(member.filter(F.col("__size") <= c.component).groupBy("comp").applyInPandas(part, SOLVED))
+    large = member.filter(F.col("__size") > c.component)
+    return out if large.isEmpty() else out.unionByName(solve_large(large, c))
+
+
+def solve_large(pairs: DataFrame, c: LinkConfig) -> DataFrame:
+    """``admm`` and ``assign`` over DataFrames, for components that no task should hold: windows by cell, file and sequence, lineage cut as rounds go."""
+    rules, rho, ex, tr = _rules(c), c.rho, c.exclusive / c.rho, c.transitive / c.rho
+    by_cell, by_file = Window.partitionBy("cell_id"), Window.partitionBy("file_id")
+    pots = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("s"), F.lit(float(a)).alias("up"), F.lit(float(b)).alias("down"))) for k, a, b in rules]))
+    z = pairs.select("cell_id", "file_id", "run", "place", "seq", pots.alias("pots"), "__nc", "__nf").withColumn("z", F.lit(0.5)).withColumn("u", F.transform("pots", lambda q: F.lit(0.0)))
     for x in ("uc", "uf", "un", "up"):
         z = z.withColumn(x, F.lit(0.0))
-    along = Window.partitionBy("run", F.col("seq") - F.col("place"), F.floor(F.col("place") / c.chain)).orderBy("place", "cell_id", "file_id")
-    z = z.withColumn("__next", (F.lead("place").over(along) == F.col("place") + 1) & F.col("seq").isNotNull())
-    z = z.withColumn("__prev", (F.lag("place").over(along) == F.col("place") - 1) & F.col("seq").isNotNull())
-    z = z.withColumn("__next", F.coalesce("__next", F.lit(False))).withColumn("__prev", F.coalesce("__prev", F.lit(False)))
-    held = z.columns
-    for i in range(c.rounds):
-        v = lambda u: F.col("z") - F.col(u)
-        s = z.withColumns({"__sc": F.sum(v("uc")).over(by_cell), "__sf": F.sum(v("uf")).over(by_file), "__vn": F.lead(v("up")).over(along), "__vp": F.lag(v("un")).over(along)})
-
-        def agree(u: str, other: str, on: str) -> Column:
-            d = v(u) - F.col(other)
-            return F.when(F.col(on), v(u) - F.signum(d) * F.least(F.lit(tr), F.abs(d) / 2)).otherwise(v(u))
-
-        step = lambda q, u: F.when((F.col("z") - u - q["s"]) * q["d"] >= 0, F.col("z") - u).otherwise(
-            F.when(q["d"] > 0, F.least(F.col("z") - u + q["w"] / rho, q["s"])).otherwise(F.greatest(F.col("z") - u - q["w"] / rho, q["s"])))
-        s = s.withColumns({
-            "xc": v("uc") - F.least(F.lit(ex), F.greatest(F.lit(0.0), (F.col("__sc") - 1) / F.col("__nc"))),
-            "xf": v("uf") - F.least(F.lit(ex), F.greatest(F.lit(0.0), (F.col("__sf") - 1) / F.col("__nf"))),
-            "xn": agree("un", "__vn", "__next"),
-            "xp": agree("up", "__vp", "__prev"),
-            "x": F.zip_with("pots", "u", step),
-        })
-        copies = F.size("pots") + 2 + F.col("__next").cast("int") + F.col("__prev").cast("int")
-        total = F.aggregate(F.zip_with("x", "u", lambda x, u: x + u), F.lit(0.0), lambda a, b: a + b) + F.col("xc") + F.col("uc") + F.col("xf") + F.col("uf")
-        total = total + F.when(F.col("__next"), F.col("xn") + F.col("un")).otherwise(0.0) + F.when(F.col("__prev"), F.col("xp") + F.col("up")).otherwise(0.0)
-        s = s.withColumn("__z", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total / copies)))
-        s = s.withColumns({"u": F.zip_with("x", "u", lambda x, u: u + x - F.col("__z")), **{u: F.col(u) + F.col(x) - F.col("__z") for x, u in (("xc", "uc"), ("xf", "uf"), ("xn", "un"), ("xp", "up"))}})
-        z = s.withColumn("z", F.col("__z")).select(*held)
-        if (i + 1) % c.rounds_per_cut == 0:
-            z = cut_lineage(z)
-    return alone.unionByName(z.select("cell_id", "file_id", F.col("z").alias("y")))
+    along = Window.partitionBy("run", F.col("seq") - F.col("place")).orderBy("place", "cell_id", "file_id")  # streamed, one row ahead and behind
+    tied = F.col("seq").isNotNull() & F.col("run").isNotNull()
+    z = z.withColumn("__next", F.coalesce((F.lead("place").over(along) == F.col("place") + 1) & tied, F.lit(False)))
+    z = z.withColumn("__prev", F.coalesce((F.lag("place").over(along) == F.col("place") - 1) & tied, F.lit(False))).withColumn("gap", F.lit(0.0))
+    held, done = z.columns, 0
+    while done < c.rounds:
+        for _ in range(c.rounds_per_cut):
+            v = lambda u: F.col("z") - F.col(u)
+            s = z.withColumns({"__sc": F.sum(v("uc")).over(by_cell), "__sf": F.sum(v("uf")).over(by_file), "__vn": F.lead(v("up")).over(along), "__vp": F.lag(v("un")).over(along)})
+
+            def agree(u: str, other: str, on: str) -> Column:
+                d = v(u) - F.col(other)
+                return F.when(F.col(on), v(u) - F.signum(d) * F.least(F.lit(tr), F.abs(d) / 2)).otherwise(v(u))
+
+            def step(q: Column, u: Column) -> Column:
+                at = F.col("z") - u
+                w = 2 * F.when(at < q["s"], q["up"]).otherwise(q["down"]) / rho
+                return (at + w * q["s"]) / (1 + w)
+
+            s = s.withColumns({
+                "xc": v("uc") - F.least(F.lit(ex), F.greatest(F.lit(0.0), (F.col("__sc") - 1) / F.col("__nc"))),
+                "xf": v("uf") - F.least(F.lit(ex), F.greatest(F.lit(0.0), (F.col("__sf") - 1) / F.col("__nf"))),
+                "xn": agree("un", "__vn", "__next"), "xp": agree("up", "__vp", "__prev"), "x": F.zip_with("pots", "u", step),
+            })
+            copies = F.size("pots") + 2 + F.col("__next").cast("int") + F.col("__prev").cast("int")
+            total = F.aggregate(F.zip_with("x", "u", lambda x, u: x + u), F.lit(0.0), lambda a, b: a + b) + F.col("xc") + F.col("uc") + F.col("xf") + F.col("uf")
+            total = total + F.when(F.col("__next"), F.col("xn") + F.col("un")).otherwise(0.0) + F.when(F.col("__prev"), F.col("xp") + F.col("up")).otherwise(0.0)
+            s = s.withColumn("__z", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total / copies)))
+            off = [F.abs(F.col(x) - F.col("__z")) for x in ("xc", "xf")] + [F.when(F.col(on), F.abs(F.col(x) - F.col("__z"))).otherwise(0.0) for x, on in (("xn", "__next"), ("xp", "__prev"))]
+            s = s.withColumn("gap", F.greatest(*off, F.aggregate("x", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x - F.col("__z")))), rho * F.abs(F.col("__z") - F.col("z"))))
+            s = s.withColumns({"u": F.zip_with("x", "u", lambda x, u: u + x - F.col("__z")), **{u: F.col(u) + F.col(x) - F.col("__z") for x, u in (("xc", "uc"), ("xf", "uf"), ("xn", "un"), ("xp", "up"))}})
+            z = s.withColumn("z", F.col("__z")).select(*held)
+            done += 1
+        z = cut_lineage(z)
+        if z.agg(F.max("gap")).first()[0] < c.tolerance:
+            break
+    value = F.round("z", 6)
+    left = z.select("cell_id", "file_id", value.alias("v")).filter(F.col("v") >= c.accept)
+    won = left.select("cell_id", "file_id").limit(0)
+    while not left.isEmpty():  # the best pair of all goes in each round
+        best = left.withColumn("__c", F.row_number().over(by_cell.orderBy(F.desc("v"), "file_id"))).withColumn("__f", F.row_number().over(by_file.orderBy(F.desc("v"), "cell_id")))
+        now = cut_lineage(best.filter("__c = 1 AND __f = 1").select("cell_id", "file_id"))
+        won = cut_lineage(won.unionByName(now))
+        left = cut_lineage(left.join(now.select("cell_id"), "cell_id", "left_anti").join(now.select("file_id"), "file_id", "left_anti"))
+    out = z.join(won.withColumn("linked", F.lit(True)), ["cell_id", "file_id"], "left")
+    return out.select("cell_id", "file_id", F.col("z").alias("y"), F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(done).alias("rounds"), "gap")
 
 
 def link(cells: DataFrame, files: DataFrame, plates: DataFrame, runs: DataFrame, c: LinkConfig | None = None) -> DataFrame:
-    """(cell_id, raw_file_id, confidence): pairs that are the best of their cell and of their file."""
+    """(cell_id, raw_file_id, confidence): pairs of at least ``accept``, best value first, until none is left."""
     c = c or LinkConfig()
-    y = solve(candidates(cells, files, plates, runs, c), c).filter(F.col("y") >= c.accept)
-    y = y.withColumn("__c", F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("y"), "file_id")))
-    y = y.withColumn("__f", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("y"), "cell_id")))
-    return y.filter((F.col("__c") == 1) & (F.col("__f") == 1)).select("cell_id", F.col("file_id").alias("raw_file_id"), F.round("y", 4).alias("confidence"))
+    got = solve(candidates(cells, files, plates, runs, c), c).filter("linked")
+    return got.select("cell_id", F.col("file_id").alias("raw_file_id"), F.round("y", 4).alias("confidence"))
