@@ -89,7 +89,7 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
     full = rows.filter(F.col("__t").isNotNull() & (F.col("__t") != ""))
     places = full.select("__k", F.xxhash64("__t").alias("__h"), F.posexplode(pre_tokens(F.col("__t"))).alias("pos", "word"))
     counts = full.select(F.explode(pre_tokens(F.col("__t"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.max(F.length("word")).alias("len"))  # a filter by length here would keep the count from being shared
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("len") > 0, F.col("n"))), F.lit(0)).alias("n")).scalar()  # every pre-token has a length; reading it keeps the count one and the same plan
     is_hot = (F.col("n") * HOT >= total) & (F.col("len") <= HOT_LENGTH)  # at most HOT rows, since their counts sum to the total at most
     hot = encode_words(counts.filter(is_hot), path).select(F.col("word").alias("hot_word"), F.col("ids").alias("hot_ids"))
     coded = encode_words(counts.filter(~is_hot), path)
