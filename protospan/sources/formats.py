@@ -201,6 +201,15 @@ def sequence_of(fasta: DataFrame, accession: str) -> str | None:
     return r.sequence if r else None
 
 
+def sequences_of(fasta: DataFrame, accessions: DataFrame) -> DataFrame:
+    """accession, sequence of each asked accession, or of its base where it is an isoform; null where neither is there."""
+    asked = accessions.select("accession").distinct()
+    names = asked.select("accession", F.explode(F.array_distinct(F.array("accession", F.regexp_replace("accession", r"-\d+$", "")))).alias("name"))
+    hit = names.join(fasta.select(F.col("accession").alias("name"), "sequence"), "name")
+    best = hit.groupBy("accession").agg(F.min_by("sequence", F.struct(F.col("name") != F.col("accession"), F.col("sequence"))).alias("sequence"))
+    return asked.join(best, "accession", "left")
+
+
 def accession_list(lines: DataFrame, line: str = "value") -> DataFrame:
     """accession of each line: comments and blanks left out, FASTA headers understood, else the first token."""
     l = F.trim(line)

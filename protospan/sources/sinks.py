@@ -21,11 +21,17 @@ def save_upsert(old: DataFrame, new: DataFrame, keys: list[str], folder: str) ->
 
 
 def replace_folder(df: DataFrame, folder: str) -> None:
-    """Replaces a table: written beside it, then renamed, so that a failure leaves the old one."""
+    """Replaces a table: written beside it, then swapped in by two renames.
+
+    A failure while writing leaves the old table; one between the renames leaves it as ``.old``, from where the next
+    call takes it back. Readers may miss the table between the renames, since folders have no atomic exchange.
+    """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target, fresh, old = (jvm.org.apache.hadoop.fs.Path(folder + x) for x in ("", ".new", ".old"))
     fs = target.getFileSystem(conf)
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)
     df.write.mode("overwrite").parquet(folder + ".new")
     fs.delete(old, True)
     if fs.exists(target):

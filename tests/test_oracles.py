@@ -3,10 +3,10 @@
 import oracle
 import pytest
 
-from protospan.plans import analytics, core_problems, core_sql, details, relational, step_sql
+from protospan.plans import analytics, core_problems, core_sql, details, files, relational, step_sql
 
-QUERIES = {**core_problems.QUERIES, **relational.reg.queries, **analytics.reg.queries, **details.reg.queries}
-SQL = {**core_sql.SQL, **relational.reg.sql, **analytics.reg.sql, **details.reg.sql, **step_sql.SQL}
+QUERIES = {**core_problems.QUERIES, **relational.reg.queries, **analytics.reg.queries, **details.reg.queries, **files.reg.queries}
+SQL = {**core_sql.SQL, **relational.reg.sql, **analytics.reg.sql, **details.reg.sql, **files.reg.sql, **step_sql.SQL}
 SAMPLE = [n for n in SQL if n.startswith("p")] + [n for n in SQL if not n.startswith("p")]
 
 
