@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,10 +114,15 @@ def p5_filled(spark: SparkSession, d: str) -> DataFrame:
     return impute.fill(read(spark, d, "diann_report"), impute.REPORT_TARGETS)
 
 
+def p5_supported(spark: SparkSession, d: str) -> DataFrame:
+    """The same by groups of at least five values, so that small groups back off to coarser ones."""
+    return impute.fill(read(spark, d, "diann_report"), [replace(t, min_support=5) for t in impute.REPORT_TARGETS])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     filled = p5_filled(spark, d)
     marks = F.array(*[F.when(F.col(f"`{t.column}__filled`"), F.lit(t.column)) for t in impute.REPORT_TARGETS])
     return filled.select("report_row", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("field_name"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cell_features_wide, p2_runs_wide, p3_found, p3_report, p4_found, p5_found, p5_filled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_cell_features_wide, p2_runs_wide, p3_found, p3_report, p4_found, p5_found, p5_filled, p5_supported)}

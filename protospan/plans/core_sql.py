@@ -62,6 +62,28 @@ select report_row, 'Run' as field_name from w where run is null and ri in (selec
 union all select report_row, 'Protein.Group' from w where pg is null and gk is not null
 union all select report_row, 'PG.MaxLFQ' from w where q is null and fk in (select pk from k where q is not null and pk is not null)"""
 
+_WHOLE = [c for c in ("report_row", "Run.Index", "Precursor.Id", "Stripped.Sequence", "Precursor.Charge", "Protein.Ids", "Genes", "RT", "Precursor.Quantity", "Q.Value", "PG.Q.Value")]
+
+
+def _filled(support: int) -> str:
+    """Values filled by groups of at least ``support`` values, with flags and levels."""
+    passed = ", ".join(f'd."{c}"' for c in _WHOLE)
+    return f"""
+with d as (select * from diann_report),
+t as (select report_row, "Run.Index" ri, "Precursor.Id" pre, case when not {_none('"Run"')} then "Run" end run, case when not {_none('"Protein.Group"')} then "Protein.Group" end pg, case when {_measured('"PG.MaxLFQ"')} then "PG.MaxLFQ" end q from d),
+k as (select *, {_KEY.format(c="pg")} pk from t),
+rs as (select ri, arg_min(run, (-n, run)) s from (select ri, run, count(*) n from t where run is not null and ri is not null group by 1, 2) group by 1 having sum(n) >= {support}),
+gs as (select pre, arg_min(pg, (-n, pg)) s from (select pre, pg, count(*) n from t where pg is not null and pre is not null group by 1, 2) group by 1 having sum(n) >= {support}),
+w as (select k.*, rs.s frun, gs.s fpg, coalesce(k.pk, {_KEY.format(c="gs.s")}) wk from k left join rs using (ri) left join gs using (pre)),
+q1 as (select ri, pk, quantile_disc(q, 0.5) s from k where q is not null and pk is not null and ri is not null group by 1, 2 having count(*) >= {support}),
+q2 as (select pk, quantile_disc(q, 0.5) s from k where q is not null and pk is not null group by 1 having count(*) >= {support}),
+f as (select w.*, q1.s s1, q2.s s2 from w left join q1 on q1.ri = w.ri and q1.pk = w.wk left join q2 on q2.pk = w.wk)
+select {passed}, case when f.run is null then f.frun else d."Run" end as "Run", case when f.pg is null then f.fpg else d."Protein.Group" end as "Protein.Group", case when f.q is null then coalesce(f.s1, f.s2) else d."PG.MaxLFQ" end as "PG.MaxLFQ",
+ f.run is null and f.frun is not null as "Run__filled", case when f.run is null and f.frun is not null then 1 end as "Run__level", f.pg is null and f.fpg is not null as "Protein.Group__filled", case when f.pg is null and f.fpg is not null then 1 end as "Protein.Group__level",
+ f.q is null and coalesce(f.s1, f.s2) is not null as "PG.MaxLFQ__filled", case when f.q is null then case when f.s1 is not null then 1 when f.s2 is not null then 2 end end as "PG.MaxLFQ__level"
+from d join f using (report_row)"""
+
+
 _UNPACK = f"""
 with t as (select report_row, unnest(['Protein.Group', 'Protein.Ids', 'Genes']) field_name, unnest(["Protein.Group", "Protein.Ids", "Genes"]) v from diann_report),
 u as (select report_row, field_name, unnest(a) tok, generate_subscripts(a, 1) i from (
@@ -82,4 +104,6 @@ where not {_none('"Run"')} and not {_none('"Protein.Group"')} and {_measured('"P
     "p3_report": f"select table_name, strftime(seen, '%Y-%m') as month, reason, count(distinct record_id) as orphans from ({_ALL_ORPHANS}) group by 1, 2, 3",
     "p4_found": _UNPACK,
     "p5_found": _FILL,
+    "p5_filled": _filled(1),
+    "p5_supported": _filled(5),
 }
