@@ -271,6 +271,35 @@ def nearest_centroid(train: DataFrame, test: DataFrame, keys: list[str], least_s
     return first_two(cos, [*keys, "run"], "label", "sim").join(seen, [*keys, "run"]).select(*keys, "run", "truth", F.col("best").alias("predicted"), F.col("best_value").alias("similarity"), F.col("margin").alias("confidence"))
 
 
+def leave_one_out(data: DataFrame, least_shared: int = 3, least_share: float = 0.2) -> DataFrame:
+    """run, truth, predicted, similarity, confidence by the centroids of all other cells.
+
+    A centroid without one cell is its sum without that cell's value, so one pass does for all cells.
+    """
+    from protospan.operators.ranking import first_two
+
+    sums = data.groupBy("label", "gene").agg(F.sum("x").alias("s"), F.count("*").alias("k"))
+    alone = data.groupBy("gene").agg(F.count("*").alias("__t"))
+    genes = alone.agg(F.count("*")).scalar()
+    cells = data.join(alone, "gene").groupBy("run", F.col("label").alias("truth")).agg(F.count("*").alias("__n"), F.count_if(F.col("__t") == 1).alias("__own"))
+    seen = cells.filter(F.col("__n") >= least_share * (genes - F.col("__own"))).select("run", "truth")
+    j = data.select("run", F.col("label").alias("truth"), "gene", "x").join(sums, "gene")
+    own = F.col("label") == F.col("truth")
+    c = F.when(own & (F.col("k") > 1), (F.col("s") - F.col("x")) / (F.col("k") - 1)).when(~own, F.col("s") / F.col("k"))
+    j = j.withColumn("c", c).filter("c IS NOT NULL")
+    cos = j.groupBy("run", "label").agg(F.sum(F.col("x") * F.col("c")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("a"), F.sum(F.col("c") * F.col("c")).alias("b"), F.count("*").alias("n"))
+    cos = cos.withColumn("sim", F.when((F.col("n") >= least_shared) & (F.col("a") > 0) & (F.col("b") > 0), F.col("d") / F.sqrt(F.col("a") * F.col("b"))).otherwise(0.0))
+    return first_two(cos, ["run"], "label", "sim").join(seen, "run").select("run", "truth", F.col("best").alias("predicted"), F.col("best_value").alias("similarity"), F.col("margin").alias("confidence"))
+
+
+def learning_curve(data: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """level, n, accuracy on the first fold, trained on the next ``level`` folds of k."""
+    f = folds(data.select("run", "label").distinct(), "run", "label", k, 1, seed).select("run", F.col("fold").alias("own"))
+    t = data.join(f, "run").withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(k - 1))))
+    got = nearest_centroid(t.filter("own > 0 AND own <= level"), t.filter("own = 0"), ["level"])
+    return got.groupBy("level").agg(F.count("*").alias("n"), F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("accuracy"))
+
+
 def cross_validate(data: DataFrame, k: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
     """repeat, fold, n, accuracy of the nearest centroid; one pass over all folds and repeats."""
     cells = data.select("run", "label").distinct()

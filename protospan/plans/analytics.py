@@ -272,6 +272,16 @@ def c21_repeated_validation(spark: SparkSession, d: str) -> DataFrame:
     return acc.select("repeat", "n", r6(F.col("right") / F.col("n")).alias("accuracy"), r6(low, 5).alias("low"), r6(high, 5).alias("high"))
 
 
+@reg.add()
+def c21_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
+    return C.leave_one_out(_xlab(spark, d)).withColumns({c: r6(F.col(c)) for c in ("similarity", "confidence")})
+
+
+@reg.add()
+def c21_learning_curve(spark: SparkSession, d: str) -> DataFrame:
+    return C.learning_curve(_xlab(spark, d)).withColumn("accuracy", r6(F.col("accuracy")))
+
+
 @reg.add()
 def c22_channel_sweep(spark: SparkSession, d: str) -> DataFrame:
     s = C.standard(_cells(spark, d), _profiles(spark, d)).withColumn("cov", F.col("coverage")).withColumn("logp", -F.log10(F.greatest("p", F.lit(1e-300))))

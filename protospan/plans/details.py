@@ -149,9 +149,12 @@ def c13_channel_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @reg.add()
 def c23_confidence_map(spark: SparkSession, d: str) -> DataFrame:
-    """run, label, on-reference call with margin and held-out call by five folds."""
+    """run, label, on-reference call with margin and held-out call: leaving one out up to 150 cells, by five folds beyond."""
     x = N._xlab(spark, d)
     on = C.nearest_centroid(x.withColumn("k", F.lit(0)), x.withColumn("k", F.lit(0)), ["k"]).select("run", F.col("truth").alias("label"), F.col("predicted").alias("on_reference"), "confidence")
+    on = on.withColumn("confidence", r6(F.col("confidence")))
+    if x.select("run").distinct().count() <= 150:
+        return on.join(C.leave_one_out(x).select("run", F.col("predicted").alias("held_out")), "run", "left")
     f = C.folds(x.select("run", "label").distinct(), "run", "label", 5).select("run", F.col("fold").alias("own"))
     t = x.join(f, "run").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4))))
     out = C.nearest_centroid(t.filter("own <> fold"), t.filter("own = fold"), ["fold"]).select("run", F.col("predicted").alias("held_out"))

@@ -69,6 +69,8 @@ def _centroid(train: str, test: str, keys: list[str], name: str) -> str:
 
 
 _CV = f"{_XLAB}, fo as (select run, rep, ({_FOLD.format(rep='rep, ', repeat='rep')}) % 5 own from (select distinct run, label from xl), (select unnest(range(0, {{repeats}})) rep)), tg as (select rep, fold, own, xl.* from xl join fo using (run), (select unnest(range(0, 5)) fold)), tr as (select * from tg where own <> fold), te as (select * from tg where own = fold), {_centroid('tr', 'te', ['rep', 'fold'], 'nc')}"
+_FOLDS = f"fo as (select run, ({_FOLD.format(rep='', repeat='0')}) % 5 own from (select distinct run, label from xl))"
+_LEFT_OUT = f"lt as (select r.run one, xl.* from xl, (select distinct run from xl) r where xl.run <> r.run), le as (select run one, xl.* from xl), {_centroid('lt', 'le', ['one'], 'lo')}"
 _NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({c}), '\\d+|\\D+'), lambda x: case when regexp_matches(x, '^\\d') then '0' || lpad(cast(length(ltrim(x, '0')) as varchar), 10, '0') || ltrim(x, '0') else x end), '')"
 _FIRST = "(select {cols} from (select *, row_number() over (partition by {key} order by (loaded_at is null), loaded_at, {ties}) r from {t} where {key} is not null) where r = 1)"
 _FILES = "files as (select plate_id, raw_file_id file_id, raw_file_name \"name\" from " + _FIRST.format(cols="*", key="raw_file_id", t="raw_files", ties="plate_id nulls first, raw_file_name nulls first") + " where plate_id is not null)"
@@ -131,6 +133,9 @@ select round(arg_min(mid, (-round(case when wa > w0 then w0 * (wa - w0) * pow(s0
     "c20_cross_validation": f"{W}{_CV.format(repeats=1)} select cast(rep as int) as repeat, cast(fold as int) as fold, count(*) as n, round(avg(cast(truth = predicted as int)), 6) as accuracy from nc group by 1, 2",
     "c21_repeated_validation": f"""{W}{_CV.format(repeats=10)}, a as (select rep, count(*) n, avg(cast(truth = predicted as int)) p, 1.96 z from nc group by 1)
 select cast(rep as int) as repeat, n, round(p, 6) as accuracy, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 5) as low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 5) as high from a""",
+    "c21_leave_one_out": f"{W}{_XLAB}, {_LEFT_OUT} select run, truth, predicted, round(similarity, 6) as similarity, round(confidence, 6) as confidence from lo",
+    "c21_learning_curve": f"{W}{_XLAB}, {_FOLDS}, lv as (select level, own, xl.* from xl join fo using (run), (select unnest(range(1, 5)) level)), lt as (select * from lv where own > 0 and own <= level), le as (select * from lv where own = 0), {_centroid('lt', 'le', ['level'], 'nc')} select cast(level as int) as level, count(*) as n, round(avg(cast(truth = predicted as int)), 6) as accuracy from nc group by 1",
+    "c23_confidence_map": f"{W}{_XLAB}, {_centroid('xl', 'xl', [], 'nc')}, sz150 as (select count(distinct run) <= 150 small from xl), lt as (select r.run one, xl.* from xl, sz150, (select distinct run from xl) r where xl.run <> r.run and small), le as (select run one, xl.* from xl), {_centroid('lt', 'le', ['one'], 'lo')}, {_FOLDS}, tg as (select fold, own, xl.* from xl join fo using (run), (select unnest(range(0, 5)) fold)), tr as (select * from tg where own <> fold), te as (select * from tg where own = fold), {_centroid('tr', 'te', ['fold'], 'cv')} select nc.run, nc.truth as label, nc.predicted as on_reference, round(nc.confidence, 6) as confidence, case when (select small from sz150) then lo.predicted else cv.predicted end as held_out from nc left join lo using (run) left join cv using (run)",
     "c22_channel_sweep": f"""{W}{_STANDARD}, zs as (select run, cell_type, """ + ", ".join(f"case when stddev_samp({x}) over w > 1e-12 then ({x} - avg({x}) over w) / stddev_samp({x}) over w else 0 end {y}" for x, y in (("rho", "k0"), ("spec", "k1"), ("-log10(greatest(p, 1e-300))", "k2"), ("coverage", "k3"))) + """ from std window w as (partition by run)),
 ma as (select run, cell_type, mask, (mask & 1) * k0 + ((mask >> 1) & 1) * k1 + ((mask >> 2) & 1) * k2 + ((mask >> 3) & 1) * k3 s from zs, (select unnest(range(1, 16)) mask)), bm as (select mask, run, arg_min(cell_type, (-round(s, 9), cell_type)) p from ma group by 1, 2)
 select cast(mask as int) as mask, round(avg(cast(p = cell_type as int)), 6) as accuracy, cast(bit_count(mask) as int) as channels from bm join lab using (run) group by mask""",
