@@ -198,9 +198,12 @@ def t17_relaxed(spark: SparkSession, d: str) -> DataFrame:
 
 @reg.add()
 def t18_reference_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of an exported reference, numbered."""
+    """The lines of an exported reference with its marker statistics, and what puts them in order."""
     p = A.reference_profiles(L.gene_values(spark, d), L.labels(spark, d))
-    return spark.createDataFrame(list(enumerate(sinks.pref_lines(p, {"source": "conditions"}))), "n int, line string")
+    lab = L.labels(spark, d).join(N._runs(spark, d), "run", "left_semi").withColumnRenamed("cell_type", "label")
+    x = L.gene_values(spark, d).select("run", F.col("gene").alias("protein"), F.log2(F.col("value") + 1).alias("x"))
+    stats = T.marker_stats(x, lab).join(T.kruskal_wallis(x, lab).select("protein", "h", "p"), "protein")
+    return sinks.reference_lines(p, {"SourceDataset": "conditions"}, stats)
 
 
 @reg.add("select distinct \"Genes\" as genes, list_filter(list_transform(regexp_split_to_array(\"Genes\", '[;,]'), lambda x: trim(x)), lambda x: x <> '') as parts from diann_report where \"Genes\" is not null")

@@ -54,12 +54,13 @@ def sc8_cell_metadata(spark: SparkSession, d: str) -> DataFrame:
     return formats.read_cell_metadata(spark, folder)
 
 
-@reg.add(W + f"{_PROF} select gene, cell_type, round(median, 4) as median, round(round(pct, 4) * 100, 2) as pct from prof where not regexp_matches(gene, '[\\t\\r\\n]')")
+@reg.add(W + f"{_PROF} select gene, cell_type, round(coalesce(median, 0), 4) as median, round(round(coalesce(pct, 0), 4) * 100, 2) as pct from (select distinct gene from prof) cross join (select distinct cell_type from prof) left join prof using (gene, cell_type) where not regexp_matches(gene, '[\\t\\r\\n]')")
 def sc9_reference(spark: SparkSession, d: str) -> DataFrame:
-    """The exported reference read back, but for names with tabs or line ends, which the format cannot hold."""
+    """The exported reference read back (a class without the gene as zero), but for names with tabs or line ends, which the format cannot hold."""
     p = N._profiles(spark, d).withColumns({"median": F.round("median", 4), "pct": F.round(F.round("pct", 4) * 100, 2)}).filter(~F.col("gene").rlike("[\\t\\r\\n]"))
-    lines = spark.createDataFrame(list(enumerate(sinks.pref_lines(p, {"source": "conditions"}))), "n int, line string")
-    return formats.read_pref(spark, _written(lines, "reference.pref")).select("gene", "cell_type", "median", F.round("pct", 2).alias("pct"))
+    folder = f"{scratch(spark)}/reference.pref"
+    sinks.write_reference(sinks.reference_lines(p, {"SourceDataset": "conditions"}), folder)
+    return formats.read_pref(spark, folder).select("gene", "cell_type", "median", F.round("pct", 2).alias("pct"))
 
 
 def _accession(seq: Column) -> Column:

@@ -60,19 +60,45 @@ def sparse_lines(long: DataFrame, labels: DataFrame) -> DataFrame:
     return j.groupBy("run", "cls").agg(text.alias("t")).select("run", F.concat_ws(" ", F.col("cls").cast("string"), "t").alias("line"))
 
 
-def pref_lines(profiles: DataFrame, metadata: dict[str, str]) -> list[str]:
-    """A reference as lines: metadata, expression (4 decimals) and detection (0 to 1); profiles of one reference fit on the driver."""
-    rows = profiles.select("gene", "cell_type", "median", "pct").collect()
-    types = sorted({r.cell_type for r in rows})
-    at = {(r.gene, r.cell_type): r for r in rows}
-    best = {g: max(((at[g, t].median, t) for t in types if (g, t) in at), key=lambda x: (x[0], x[1])) for g in {r.gene for r in rows}}
-    order = sorted(best, key=lambda g: (best[g][1], -best[g][0], g))
-    out = [f"##{k}:{v}" for k, v in metadata.items()]
-    for name, f in (("EXPRESSION", lambda r: f"{r.median:.4f}"), ("DETECTION", lambda r: f"{r.pct / 100:.4f}")):
-        out.append(f"##SECTION:{name}")
-        out.append("\t".join(["Gene", *types]))
-        out += ["\t".join([g, *[f(at[g, t]) if (g, t) in at else "" for t in types]]) for g in order]
-    return out
+STAT_COLUMNS = ["Protein", "BestCellType", "SpecificityDelta", "WeightedScore", "KW_H", "KW_pValue", "BestDetection", "IsRobust"]
+
+
+def reference_lines(profiles: DataFrame, metadata: dict[str, str], stats: DataFrame | None = None) -> DataFrame:
+    """section, head, best, value, gene, line: a reference as lines, in the order of these columns.
+
+    Metadata, expression (4 decimals), detection (0 to 1) and, with ``stats`` (protein, best, delta, weighted, h, p,
+    detection, robust), the marker statistics. Missing values are written as zero; genes go by their best type and value.
+    """
+    spark = profiles.sparkSession
+    types = [r.cell_type for r in profiles.select("cell_type").distinct().orderBy("cell_type").collect()]  # a column each
+    best = profiles.groupBy("gene").agg(F.max_by(F.struct("cell_type", "median"), F.struct("median", "cell_type")).alias("b"))
+    order = [F.col("b.cell_type").alias("best"), (-F.col("b.median")).alias("value"), "gene"]
+    heads = [(0, k, f"##{a}:{b}") for k, (a, b) in enumerate(metadata.items())]
+    out = None
+    for section, (name, number) in enumerate((("EXPRESSION", F.col("median")), ("DETECTION", F.col("pct") / 100)), 1):
+        heads += [(section, 0, f"##SECTION:{name}"), (section, 1, "\t".join(["Protein", *types]))]
+        at = profiles.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("cell_type", F.round(number, 4).alias("x")))).alias("m")).join(best, "gene")
+        cells = [F.format_string("%.4f", F.coalesce(F.element_at("m", F.lit(t)), F.lit(0.0))) for t in types]
+        rows = at.select(F.lit(section).alias("section"), F.lit(2).alias("head"), *order, F.concat_ws("\t", "gene", *cells).alias("line"))
+        out = rows if out is None else out.unionByName(rows)
+    if stats is not None:
+        heads += [(3, 0, "##SECTION:MARKER_STATS"), (3, 1, "\t".join(STAT_COLUMNS))]
+        four = lambda c: F.format_string("%.4f", F.round(c, 4))
+        e = F.format_string("%.4E", "p")  # exponents have three digits or more
+        power = F.regexp_replace(e, r"(E[+-])(\d\d)$", "$1@$2")
+        fields = ["gene", "s.best", four("s.delta"), four("s.weighted"), four("s.h"), F.replace(power, F.lit("@"), F.lit("0")), four("s.detection"), F.when(F.col("s.robust"), "TRUE").otherwise("FALSE")]
+        named = best.join(stats.select(F.col("protein").alias("gene"), F.struct("best", "delta", "weighted", "h", "detection", "robust").alias("s"), "p"), "gene")
+        out = out.unionByName(named.select(F.lit(3).alias("section"), F.lit(2).alias("head"), *order, F.concat_ws("\t", *fields).alias("line")))
+    top = spark.createDataFrame([(a, b, "", 0.0, "", line) for a, b, line in heads], "section int, head int, best string, value double, gene string, line string")
+    return top.unionByName(out)
+
+
+REFERENCE_ORDER = ["section", "head", "best", "value", "gene"]
+
+
+def write_reference(lines: DataFrame, folder: str) -> None:
+    """One text file of ``reference_lines`` in order; sorting spills where a reference is large."""
+    lines.repartition(1).sortWithinPartitions(*REFERENCE_ORDER).select("line").write.mode("overwrite").text(folder)
 
 
 def write_lines(df: DataFrame, lines: list[str], folder: str) -> None:

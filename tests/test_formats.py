@@ -56,10 +56,13 @@ def test_label_tsv(spark, tmp_path):
 
 def test_pref_round_trip(spark, tmp_path):
     prof = spark.createDataFrame([("g1", "A", 2.0, 50.0), ("g1", "B", 1.0, 20.0), ("g2", "B", 3.5, 100.0)], "gene string, cell_type string, median double, pct double")
-    lines = sinks.pref_lines(prof, {"name": "x", "version": "1"})
+    stats = spark.createDataFrame([("g1", "A", 1.0, 0.75, 3.25, 0.00012345, 0.5, True)], "protein string, best string, delta double, weighted double, h double, p double, detection double, robust boolean")
+    lines = [r.line for r in sinks.reference_lines(prof, {"name": "x", "version": "1"}, stats).orderBy(*sinks.REFERENCE_ORDER).collect()]
+    assert lines[:6] == ["##name:x", "##version:1", "##SECTION:EXPRESSION", "Protein\tA\tB", "g1\t2.0000\t1.0000", "g2\t0.0000\t3.5000"]
+    assert lines[-3:] == ["##SECTION:MARKER_STATS", "\t".join(sinks.STAT_COLUMNS), "g1\tA\t1.0000\t0.7500\t3.2500\t1.2345E-004\t0.5000\tTRUE"]
     f = put(tmp_path, "r.pref", "\n".join(lines) + "\n")
     got = {tuple(r) for r in X.read_pref(spark, f).select("gene", "cell_type", "median", F.round("pct", 4)).collect()}
-    assert got == {("g1", "A", 2.0, 50.0), ("g1", "B", 1.0, 20.0), ("g2", "B", 3.5, 100.0)} and X.pref_metadata(spark, f)["name"] == "x"
+    assert got == {("g1", "A", 2.0, 50.0), ("g1", "B", 1.0, 20.0), ("g2", "A", 0.0, 0.0), ("g2", "B", 3.5, 100.0)} and X.pref_metadata(spark, f)["name"] == "x"
     bad = put(tmp_path, "b.pref", "##SECTION:EXPRESSION\nGene\tA\ng1\t2\n##SECTION:DETECTION\nGene\tA\n")
     with pytest.raises(ValueError):
         X.read_pref(spark, bad)
