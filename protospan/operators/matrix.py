@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 MOST_CELLS = 50_000_000
 PACK = 1024
+STRIP = 512  # rows of a matrix that a kernel takes at a time
 
 
 def total_scale(quant: DataFrame) -> DataFrame:
@@ -67,6 +68,47 @@ def dense(long: DataFrame, row: str = "run", col: str = "protein", value: str =
     return long.select(row, col, value).toPandas().pivot_table(index=row, columns=col, values=value, aggfunc="first")
 
 
+class Gathered:
+    """rows x columns of ``long`` in name order, NaN where missing, in a file that is mapped, as a task gathers them batch by batch."""
+
+    def __init__(self, batches, folder: str, row: int = 0, col: int = 1, value: int = 2):
+        codes, at, names = ({}, {}), ([], []), None
+        x = []
+        for batch in batches:
+            for k, c in enumerate((row, col)):
+                d = batch.column(c).dictionary_encode()
+                codes_of = np.array([codes[k].setdefault(n, len(codes[k])) for n in d.dictionary.to_pylist()], np.int32)
+                at[k].append(codes_of[d.indices.to_numpy()] if len(codes_of) else np.empty(0, np.int32))
+            x.append(batch.column(value).to_numpy(zero_copy_only=False))
+        self.rows, self.columns = (sorted(c) for c in codes)
+        self.shape = (len(self.rows), len(self.columns))
+        self.data = np.memmap(f"{folder}/x", float, "w+", shape=self.shape) if len(x) and all(self.shape) else np.empty(self.shape)
+        place = [np.empty(len(c), np.int64) for c in codes]
+        for p, c, names in zip(place, codes, (self.rows, self.columns)):
+            for n, name in enumerate(names):
+                p[c[name]] = n
+        for lo in range(0, self.shape[0], STRIP):
+            self.data[lo : lo + STRIP] = np.nan
+        for i, j, v in zip(*at, x):
+            self.data[place[0][i], place[1][j]] = v
+
+
+def in_one_task(long: DataFrame, kernel, schema: str, row: str = "run", col: str = "protein", value: str = "x") -> DataFrame:
+    """What ``kernel`` makes of the gathered matrix and a scratch folder, in one task: the driver holds none of it, the task maps it from a file."""
+
+    def run(batches):
+        import tempfile
+
+        import pyarrow as pa
+
+        with tempfile.TemporaryDirectory() as folder:
+            out = pd.DataFrame(kernel(Gathered(batches, folder), folder))
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    return long.filter(F.col(row).isNotNull() & F.col(col).isNotNull() & F.col(value).isNotNull()).select(row, col, F.col(value).cast("double")).repartition(1).mapInArrow(run, schema)
+
+
 def combat(data: np.ndarray, batches: list, covariates: list | None = None, tol: float = 1e-4, rounds: int = 1000) -> np.ndarray:
     """Empirical-Bayes batch correction of samples x features (no missing values).
 
@@ -142,38 +184,58 @@ class Pca:
         return out
 
 
-def nipals(data: np.ndarray, k: int = 2, rounds: int = 500, tol: float = 1e-9, centre: bool = True, least: int = 2) -> Pca:
-    """PCA over observed values only. Centres where values are missing; a column seen less than ``least`` times has no loading."""
-    x = np.array(data, float)
-    seen = ~np.isnan(x)
-    usable = seen.sum(0) >= least
-    means = np.where(usable, np.nan_to_num(np.nansum(x, 0) / np.maximum(seen.sum(0), 1)), 0.0) if centre or not seen.all() else np.zeros(x.shape[1])
-    rest = np.where(seen & usable, x - means, 0.0)
-    w = (seen & usable).astype(float)
-    whole = float((rest**2).sum())
+def nipals(data: np.ndarray, k: int = 2, rounds: int = 500, tol: float = 1e-9, centre: bool = True, least: int = 2, folder: str | None = None) -> Pca:
+    """PCA over observed values only. Centres where values are missing; a column seen less than ``least`` times has no loading.
+
+    The rest and what is seen are taken ``STRIP`` rows at a time, in files under ``folder`` if given, which are mapped; a round reads them once.
+    """
+    n, m = data.shape
+    new = lambda name: np.memmap(f"{folder}/{name}", float, "w+", shape=(n, m)) if folder and n * m else np.empty((n, m))
+    strips = [slice(lo, min(n, lo + STRIP)) for lo in range(0, n, STRIP)]
+    count, total = np.zeros(m), np.zeros(m)
+    for z in strips:
+        seen = ~np.isnan(data[z])
+        count, total = count + seen.sum(0), total + np.where(seen, data[z], 0.0).sum(0)
+    usable = count >= least
+    means = np.where(usable, total / np.maximum(count, 1), 0.0) if centre or count.sum() < n * m else np.zeros(m)
+    rest, w, power = new("rest"), new("seen"), np.zeros(m)
+    for z in strips:
+        seen = ~np.isnan(data[z]) & usable
+        rest[z], w[z] = np.where(seen, data[z] - means, 0.0), seen
+        power += (rest[z] ** 2).sum(0)
+    whole = float(power.sum())
     scores, loadings, explained, left = [], [], [], whole
+    share = lambda a, b: np.where(b > 0, a / np.where(b > 0, b, 1), 0.0)
     for _ in range(k):
         if left <= 1e-12 * max(whole, 1e-300):
             break
-        t = rest[:, np.argmax((rest**2).sum(0))].copy()
+        t = np.array(rest[:, np.argmax(power)])
+        up, den = np.zeros(m), np.zeros(m)
+        for z in strips:
+            up, den = up + t[z] @ rest[z], den + (t[z] * t[z]) @ w[z]
+        p = np.zeros(m)
         for _ in range(rounds):
-            den = w.T @ (t * t)
-            p = np.where(den > 0, rest.T @ t / np.where(den > 0, den, 1), 0.0)
+            p = share(up, den)
             norm = np.linalg.norm(p)
             if norm == 0:
                 break
             p /= norm
-            den = w @ (p * p)
-            new = np.where(den > 0, rest @ p / np.where(den > 0, den, 1), 0.0)
-            gap = min(np.linalg.norm(new - t), np.linalg.norm(new + t))
-            t = new
+            got, up, den = np.empty(n), np.zeros(m), np.zeros(m)
+            for z in strips:  # scores of these rows, and what they add to the next loadings
+                r, s = rest[z], w[z]
+                got[z] = u = share(r @ p, s @ (p * p))
+                up, den = up + u @ r, den + (u * u) @ s
+            gap = min(np.linalg.norm(got - t), np.linalg.norm(got + t))
+            t = got
             if gap <= tol * max(np.linalg.norm(t), 1e-300):
                 break
-        rest = rest - w * np.outer(t, p)
-        now = float((rest**2).sum())
+        power = np.zeros(m)
+        for z in strips:
+            rest[z] -= w[z] * np.outer(t[z], p)
+            power += (rest[z] ** 2).sum(0)
+        now = float(power.sum())
         scores.append(t), loadings.append(p), explained.append((left - now) / whole if whole else 0.0)
         left = now
-    n, m = x.shape
     return Pca(np.array(scores).T.reshape(n, -1), np.array(loadings).T.reshape(m, -1), means, np.array(explained))
 
 
@@ -221,13 +283,13 @@ def top_loadings(loadings: np.ndarray, names: list[str], k: int = 10) -> list[tu
     return out
 
 
-def pca_of_matrix(wide: pd.DataFrame, depth: pd.Series, most: int = 30) -> tuple[Pca, float]:
-    """NIPALS with min(most, n - 1, p - 1) components (n >= 3, p >= 2) and the largest |rank correlation| of the first five with depth."""
-    n, p = wide.shape
+def pca_of_matrix(data: np.ndarray, depth: np.ndarray, most: int = 30, folder: str | None = None) -> tuple[Pca, float]:
+    """NIPALS with min(most, n - 1, p - 1) components (n >= 3, p >= 2) and the largest |rank correlation| of the first five with the rows' depth."""
+    n, p = data.shape
     if n < 3 or p < 2:
         raise ValueError(f"a matrix of {n} x {p} is too small")
-    got = nipals(wide.to_numpy(), min(most, n - 1, p - 1))
-    d = depth.reindex(wide.index).rank().to_numpy()
+    got = nipals(data, min(most, n - 1, p - 1), folder=folder)
+    d = pd.Series(depth).rank().to_numpy()
     rho = [abs(np.corrcoef(pd.Series(got.scores[:, k]).rank(), d)[0, 1]) for k in range(min(5, got.scores.shape[1])) if np.std(got.scores[:, k]) > 0 and np.std(d) > 0]
     return got, float(max(rho, default=0.0))
 
