@@ -94,7 +94,7 @@ class Gathered:
 
 
 def in_one_task(long: DataFrame, kernel, schema: str, row: str = "run", col: str = "protein", value: str = "x") -> DataFrame:
-    """What ``kernel`` makes of the gathered matrix and a scratch folder, in one task: the driver holds none of it, the task maps it from a file."""
+    """What ``kernel`` makes of the gathered matrix and a scratch folder (columns, or an iterator of such), in one task: the driver holds none of it, the task maps it from a file."""
 
     def run(batches):
         import tempfile
@@ -102,9 +102,10 @@ def in_one_task(long: DataFrame, kernel, schema: str, row: str = "run", col: str
         import pyarrow as pa
 
         with tempfile.TemporaryDirectory() as folder:
-            out = pd.DataFrame(kernel(Gathered(batches, folder), folder))
-            if len(out):
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+            got = kernel(Gathered(batches, folder), folder)
+            for out in map(pd.DataFrame, [got] if isinstance(got, dict) else got):
+                if len(out):
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
     return long.filter(F.col(row).isNotNull() & F.col(col).isNotNull() & F.col(value).isNotNull()).select(row, col, F.col(value).cast("double")).repartition(1).mapInArrow(run, schema)
 

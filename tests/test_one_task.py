@@ -66,3 +66,11 @@ def test_pca_depth():
     got, rho = M.pca_of_matrix(x, x @ [1, 2, 3, 4, 5])
     assert len(got.explained) == 4 and abs(sum(got.explained) - 1) < 0.2 and 0 < rho <= 1
     assert pd.notna(rho)
+
+
+def test_combat_in_a_task(spark, data, no_gathering):
+    from protospan.plans import analytics
+
+    rows = analytics.m5_combat(spark, data).collect()
+    want = {(r.run, r.protein) for r in analytics.m3_fill(spark, data).collect()}
+    assert len(rows) == len(want) and {(r.run, r.protein) for r in rows} == want and len({r.method for r in rows}) == 1
