@@ -2,7 +2,8 @@
 
 Steps that are sums, ranks or regressions work on the long table. ComBat, NIPALS and k-means are small dense kernels
 (their convergence is global over all features): ``dense`` gathers a matrix only after checking rows x columns against
-``MOST_CELLS``. PCA of many rows goes by the covariance of the columns (``gram_pca``), whose size is the number of
+``MOST_CELLS``, ``in_one_task`` in a task, and ``in_peer_tasks`` shares its rows out over tasks that add up each round.
+PCA of many rows goes by the covariance of the columns (``gram_pca``), whose size is the number of
 columns squared, so rows never meet in one place.
 """
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 MOST_CELLS = 50_000_000
 PACK = 1024
-STRIP = 512  # rows of a matrix that a kernel takes at a time
+STRIP = 128  # rows of a matrix that a kernel takes at a time
+MOST_PEERS = 16  # tasks that share one kernel
 
 
 def total_scale(quant: DataFrame) -> DataFrame:
@@ -69,9 +71,12 @@ def dense(long: DataFrame, row: str = "run", col: str = "protein", value: str =
 
 
 class Gathered:
-    """rows x columns of ``long`` in name order, NaN where missing, in a file that is mapped, as a task gathers them batch by batch."""
+    """rows x columns of ``long`` in name order, NaN where missing, in a file that is mapped, as a task gathers them batch by batch.
 
-    def __init__(self, batches, folder: str, row: int = 0, col: int = 1, value: int = 2):
+    ``agree`` takes the names of the columns met here and returns those of the matrix.
+    """
+
+    def __init__(self, batches, folder: str, row: int = 0, col: int = 1, value: int = 2, agree=None):
         codes, at, names = ({}, {}), ([], []), None
         x = []
         for batch in batches:
@@ -81,12 +86,15 @@ class Gathered:
                 at[k].append(codes_of[d.indices.to_numpy()] if len(codes_of) else np.empty(0, np.int32))
             x.append(batch.column(value).to_numpy(zero_copy_only=False))
         self.rows, self.columns = (sorted(c) for c in codes)
+        if agree:
+            self.columns = agree(self.columns)
         self.shape = (len(self.rows), len(self.columns))
         self.data = np.memmap(f"{folder}/x", float, "w+", shape=self.shape) if len(x) and all(self.shape) else np.empty(self.shape)
         place = [np.empty(len(c), np.int64) for c in codes]
         for p, c, names in zip(place, codes, (self.rows, self.columns)):
             for n, name in enumerate(names):
-                p[c[name]] = n
+                if name in c:
+                    p[c[name]] = n
         for lo in range(0, self.shape[0], STRIP):
             self.data[lo : lo + STRIP] = np.nan
         for i, j, v in zip(*at, x):
@@ -110,6 +118,99 @@ def in_one_task(long: DataFrame, kernel, schema: str, row: str = "run", col: str
     return long.filter(F.col(row).isNotNull() & F.col(col).isNotNull() & F.col(value).isNotNull()).select(row, col, F.col(value).cast("double")).repartition(1).mapInArrow(run, schema)
 
 
+class Peers:
+    """The tasks of a barrier stage, which add up and exchange values through the first of them; a task alone has no others."""
+
+    def __init__(self):
+        import os
+        import secrets
+        import socket
+        from multiprocessing.connection import Client, Listener
+
+        from pyspark import BarrierTaskContext, TaskContext
+
+        at = TaskContext.get()
+        self.place, self.others = at.partitionId(), []
+        if not isinstance(at, BarrierTaskContext):
+            return
+        hosts = [i.address.rpartition(":")[0] for i in at.getTaskInfos()]
+        key = secrets.token_hex(32)
+        listener = None if self.place else Listener((hosts[0], 0), backlog=len(hosts), authkey=key.encode())
+        port, key = at.allGather(f"{listener.address[1]} {key}" if listener else "")[0].split()
+        if listener:
+            met = {}
+            while len(met) < len(hosts) - 1:
+                other = listener.accept()
+                met[other.recv()] = other
+            self.others = [met[i] for i in sorted(met)]
+            listener.close()
+        else:
+            self.others = [Client((hosts[0], int(port)), authkey=key.encode())]
+            self.others[0].send(self.place)
+        for other in self.others:  # small messages go at once
+            with socket.socket(fileno=os.dup(other.fileno())) as s:
+                s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for other in self.others:
+            other.close()
+
+    def all(self, value) -> list:
+        """The values of all tasks, by partition."""
+        if self.place:
+            self.others[0].send(value)
+            return self.others[0].recv()
+        values = [value, *(other.recv() for other in self.others)]
+        for other in self.others:
+            other.send(values)
+        return values
+
+    def add(self, *values) -> list:
+        """Each value summed over the tasks by partition, so all get the same bits."""
+        flat = np.concatenate([np.ravel(v) for v in values]).astype(float)
+        if self.place:
+            self.others[0].send_bytes(flat)
+            flat = np.frombuffer(self.others[0].recv_bytes())
+        else:
+            for other in self.others:
+                flat = flat + np.frombuffer(other.recv_bytes())
+            for other in self.others:
+                other.send_bytes(flat)
+        ends = np.cumsum([np.size(v) for v in values])
+        return [flat[end - np.size(v) : end].reshape(np.shape(v)) for v, end in zip(values, ends)]
+
+
+def peers_of(spark) -> int:
+    """Tasks that can run at once, ``MOST_PEERS`` at most; 1 where executors come and go, as a barrier stage needs them to stay."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 1
+    sc = spark.sparkContext._jsc.sc()
+    return max(1, min(MOST_PEERS, sc.maxNumConcurrentTasks(sc.resourceProfileManager().defaultResourceProfile())))
+
+
+def in_peer_tasks(long: DataFrame, kernel, schema: str, row: str = "run", col: str = "protein", value: str = "x") -> DataFrame:
+    """As ``in_one_task``, by as many tasks as run at once: each gathers its rows over the columns of all, and ``kernel`` also gets the ``Peers``."""
+
+    def run(batches):
+        import tempfile
+
+        import pyarrow as pa
+
+        with tempfile.TemporaryDirectory() as folder, Peers() as peers:
+            g = Gathered(batches, folder, agree=lambda names: sorted(set().union(*peers.all(names))))
+            out = pd.DataFrame(kernel(g, folder, peers))
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    n = peers_of(long.sparkSession)
+    rows = long.filter(F.col(row).isNotNull() & F.col(col).isNotNull() & F.col(value).isNotNull()).select(row, col, F.col(value).cast("double"))
+    # a barrier stage runs whole or not at all: behind a shuffle, readers may take some rows of it
+    return rows.repartition(n, row).mapInArrow(run, schema, barrier=n > 1).repartition(1)
+
+
 def combat(data: np.ndarray, batches: list, covariates: list | None = None, tol: float = 1e-4, rounds: int = 1000) -> np.ndarray:
     """Empirical-Bayes batch correction of samples x features (no missing values).
 
@@ -185,35 +286,74 @@ class Pca:
         return out
 
 
-def nipals(data: np.ndarray, k: int = 2, rounds: int = 500, tol: float = 1e-9, centre: bool = True, least: int = 2, folder: str | None = None) -> Pca:
+class Seen:
+    """The 0/1 matrix of the cells that hold a value, kept as codes of eight columns each, which products look up or count."""
+
+    def __init__(self, packed: list[np.ndarray], m: int):
+        self.m, self.groups, self.codes = m, -(-m // 8), []
+        codes = np.concatenate([np.empty((0, self.groups), np.uint8), *packed])
+        step = max(1, (1 << 18) // max(self.groups, 1))
+        for lo in range(0, len(codes), step):
+            self.codes.append((slice(lo, min(len(codes), lo + step)), np.add(codes[lo : lo + step].T, (np.arange(self.groups, dtype=np.intp) << 8)[:, None], order="C")))
+
+    @staticmethod
+    def packed(seen: np.ndarray) -> np.ndarray:
+        return np.packbits(seen, axis=1, bitorder="little")
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The matrix times ``v``: the sums of all 256 codes of a group, then one look-up a group and row."""
+        q, sums = np.zeros(self.groups * 8), np.zeros((self.groups, 1))
+        q[: self.m] = v
+        for c in q.reshape(-1, 8).T:
+            sums = np.concatenate([sums, sums + c[:, None]], 1)
+        return np.concatenate([np.empty(0), *(np.take(sums.ravel(), codes).sum(0) for _, codes in self.codes)])
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        """``v`` times the matrix: ``v`` summed by code, then the codes of each column."""
+        by, out = np.zeros(self.groups << 8), np.empty((self.groups, 8))
+        for z, codes in self.codes:
+            by += np.bincount(codes.ravel(), np.tile(v[z], self.groups), self.groups << 8)
+        by = by.reshape(-1, 256)
+        for k in range(7, -1, -1):
+            low, high = by[:, : 1 << k], by[:, 1 << k :]
+            out[:, k], by = high.sum(1), low + high
+        return out.ravel()[: self.m]
+
+
+def nipals(data: np.ndarray, k: int = 2, rounds: int = 500, tol: float = 1e-9, centre: bool = True, least: int = 2, folder: str | None = None, add=lambda *own: own) -> Pca:
     """PCA over observed values only. Centres where values are missing; a column seen less than ``least`` times has no loading.
 
-    The rest and what is seen are taken ``STRIP`` rows at a time, in files under ``folder`` if given, which are mapped; a round reads them once.
+    The rest is taken ``STRIP`` rows at a time, in a file under ``folder`` if given, which is mapped; a round reads it once.
+    Where the rows are shared out, ``data`` and the scores are a task's own and ``add`` sums over the tasks, once a round.
     """
     n, m = data.shape
-    new = lambda name: np.memmap(f"{folder}/{name}", float, "w+", shape=(n, m)) if folder and n * m else np.empty((n, m))
     strips = [slice(lo, min(n, lo + STRIP)) for lo in range(0, n, STRIP)]
     count, total = np.zeros(m), np.zeros(m)
     for z in strips:
         seen = ~np.isnan(data[z])
         count, total = count + seen.sum(0), total + np.where(seen, data[z], 0.0).sum(0)
+    rows, count, total = add(n, count, total)
     usable = count >= least
-    means = np.where(usable, total / np.maximum(count, 1), 0.0) if centre or count.sum() < n * m else np.zeros(m)
-    rest, w, power = new("rest"), new("seen"), np.zeros(m)
+    means = np.where(usable, total / np.maximum(count, 1), 0.0) if centre or count.sum() < rows * m else np.zeros(m)
+    rest = np.asarray(np.memmap(f"{folder}/rest", float, "w+", shape=(n, m))) if folder and n * m else np.empty((n, m))
+    power, packed = np.zeros(m), []
     for z in strips:
         seen = ~np.isnan(data[z]) & usable
-        rest[z], w[z] = np.where(seen, data[z] - means, 0.0), seen
+        rest[z] = np.where(seen, data[z] - means, 0.0)
+        packed.append(Seen.packed(seen))
         power += (rest[z] ** 2).sum(0)
-    whole = float(power.sum())
+    (power,) = add(power)
+    w, whole = Seen(packed, m), float(power.sum())
     scores, loadings, explained, left = [], [], [], whole
     share = lambda a, b: np.where(b > 0, a / np.where(b > 0, b, 1), 0.0)
     for _ in range(k):
         if left <= 1e-12 * max(whole, 1e-300):
             break
         t = np.array(rest[:, np.argmax(power)])
-        up, den = np.zeros(m), np.zeros(m)
+        up = np.zeros(m)
         for z in strips:
-            up, den = up + t[z] @ rest[z], den + (t[z] * t[z]) @ w[z]
+            up += t[z] @ rest[z]
+        up, den = add(up, w.of(t * t))
         p = np.zeros(m)
         for _ in range(rounds):
             p = share(up, den)
@@ -221,23 +361,26 @@ def nipals(data: np.ndarray, k: int = 2, rounds: int = 500, tol: float = 1e-9, c
             if norm == 0:
                 break
             p /= norm
-            got, up, den = np.empty(n), np.zeros(m), np.zeros(m)
+            got, up, norms = np.empty(n), np.zeros(m), w.times(p * p)
+            norms[norms == 0] = np.inf  # a row without a loading has no score
             for z in strips:  # scores of these rows, and what they add to the next loadings
-                r, s = rest[z], w[z]
-                got[z] = u = share(r @ p, s @ (p * p))
-                up, den = up + u @ r, den + (u * u) @ s
-            gap = min(np.linalg.norm(got - t), np.linalg.norm(got + t))
+                r = rest[z]
+                u = np.matmul(r, p, out=got[z])
+                u /= norms[z]
+                up += u @ r
+            up, den, less, more, own = add(up, w.of(got * got), ((got - t) ** 2).sum(), ((got + t) ** 2).sum(), (got**2).sum())
             t = got
-            if gap <= tol * max(np.linalg.norm(t), 1e-300):
+            if np.sqrt(min(less, more)) <= tol * max(np.sqrt(own), 1e-300):
                 break
         power = np.zeros(m)
         for z in strips:
-            rest[z] -= w[z] * np.outer(t[z], p)
+            rest[z] -= np.where(~np.isnan(data[z]) & usable, np.outer(t[z], p), 0.0)
             power += (rest[z] ** 2).sum(0)
+        (power,) = add(power)
         now = float(power.sum())
         scores.append(t), loadings.append(p), explained.append((left - now) / whole if whole else 0.0)
         left = now
-    return Pca(np.array(scores).T.reshape(n, -1), np.array(loadings).T.reshape(m, -1), means, np.array(explained))
+    return Pca(np.array(scores).T.reshape(n, len(scores)), np.array(loadings).T.reshape(m, len(loadings)), means, np.array(explained))
 
 
 def gram_pca(vectors: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,14 +427,18 @@ def top_loadings(loadings: np.ndarray, names: list[str], k: int = 10) -> list[tu
     return out
 
 
-def pca_of_matrix(data: np.ndarray, depth: np.ndarray, most: int = 30, folder: str | None = None) -> tuple[Pca, float]:
-    """NIPALS with min(most, n - 1, p - 1) components (n >= 3, p >= 2) and the largest |rank correlation| of the first five with the rows' depth."""
-    n, p = data.shape
+def pca_of_matrix(data: np.ndarray, depth: np.ndarray, most: int = 30, folder: str | None = None, peers: Peers | None = None) -> tuple[Pca, float]:
+    """NIPALS with min(most, n - 1, p - 1) components (n >= 3, p >= 2) and the largest |rank correlation| of the first five with the rows' depth.
+
+    With ``peers`` the rows are those of a task, n and the correlation those of all.
+    """
+    add, everyone = (peers.add, peers.all) if peers else (lambda *own: own, lambda own: [own])
+    n, p = int(add(len(data))[0]), data.shape[1]
     if n < 3 or p < 2:
         raise ValueError(f"a matrix of {n} x {p} is too small")
-    got = nipals(data, min(most, n - 1, p - 1), folder=folder)
-    d = pd.Series(depth).rank().to_numpy()
-    rho = [abs(np.corrcoef(pd.Series(got.scores[:, k]).rank(), d)[0, 1]) for k in range(min(5, got.scores.shape[1])) if np.std(got.scores[:, k]) > 0 and np.std(d) > 0]
+    got = nipals(data, min(most, n - 1, p - 1), folder=folder, add=add)
+    scores, d = np.concatenate(everyone(got.scores[:, :5])), pd.Series(np.concatenate(everyone(depth))).rank().to_numpy()
+    rho = [abs(np.corrcoef(pd.Series(scores[:, k]).rank(), d)[0, 1]) for k in range(scores.shape[1]) if np.std(scores[:, k]) > 0 and np.std(d) > 0]
     return got, float(max(rho, default=0.0))
 
 
